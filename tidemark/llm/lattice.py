@@ -137,8 +137,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-@F.arrow_udf("double")
-def cosine(a: pa.Array, b: pa.Array) -> pa.Array:
+def cosines(a: pa.Array, b: pa.Array) -> pa.Array:
     """Dot product of unit vectors; null where the lengths differ."""
     na, nb = np.diff(a.offsets.to_numpy()), np.diff(b.offsets.to_numpy())
     if len(na) and (na == na[0]).all() and (nb == na[0]).all():
@@ -167,7 +166,7 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
     candidates = tables.put("candidates", met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     vector = lambda k, v: reps.select(F.col("id").alias(k), F.col("vector").alias(v))
     both = candidates.join(vector("a", "va"), "a").join(vector("b", "vb"), "b")
-    links = tables.put("links", both.withColumn("cosine", cosine("va", "vb")).filter(F.col("cosine") >= least).select("a", "b").distinct())
+    links = tables.put("links", both.withColumn("cosine", F.arrow_udf(cosines, "double")("va", "vb")).filter(F.col("cosine") >= least).select("a", "b").distinct())
     tables.drop("candidates")
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copies = reps.groupBy("id").agg(F.sum("copies").alias("copies"))
