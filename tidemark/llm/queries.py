@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lattice, licenses, minhash, mixing, secrets, tokens
+from . import chat, decontam, html, langid, lattice, licenses, minhash, mixing, secrets, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(_table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.select("doc_id", "text", "lang"))
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_count": op5_token_count,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_html_text": op8_html_text,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
 }
