@@ -3,7 +3,7 @@
 A text's features are the buckets of its byte n-grams of 1 to ORDERS bytes (A-Z lower-cased; digits, punctuation and
 control characters as one blank), each there or not. The kernel of two texts is the number of shared buckets over the
 geometric mean of their numbers, over the buckets that some landmark has. Landmarks are labelled texts; one ridge
-regression per language (targets 1 and -1) is solved in their Nyström feature space and folded back into one matrix, so
+regression per language (targets 1 and -1, less what an even guess has) is solved in their Nyström feature space and folded back into one matrix, so
 that a batch is scored by two products: presence by landmarks, and kernels by languages.
 
 The model is fitted on a bounded sample: at most TRAIN_ROWS labelled texts of at most TRAIN_CHARS code points, as even
@@ -53,6 +53,7 @@ class Model:
     column: np.ndarray  # by bucket: its column in `landmarks`, or -1
     landmarks: np.ndarray  # uint8, columns by landmarks
     weights: np.ndarray  # landmarks by languages
+    bias: np.ndarray  # by language: the value of a text that shares nothing with any landmark
     sizes: np.ndarray  # root of the buckets of each landmark
 
 
@@ -119,12 +120,12 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS) -> Mode
     width = max(1, int(seen.sum()))
     marks = np.concatenate(list(presence_batches(pa.array([texts[i] for i in chosen]), column, width)))
     sizes = np.sqrt(np.maximum(marks.sum(axis=1, dtype=np.int64), 1)).astype(np.float32)
-    model = Model(languages, column, np.ascontiguousarray(marks.T), np.zeros((len(chosen), len(languages)), np.float32), sizes)
+    model = Model(languages, column, np.ascontiguousarray(marks.T), np.zeros((len(chosen), len(languages)), np.float32), np.full(len(languages), 2 / len(languages) - 1), sizes)
     within = kernels(model, marks).astype(np.float64)
     values, vectors = np.linalg.eigh(within)
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
     features = np.concatenate([kernels(model, m) for m in presence_batches(pa.array(texts), column, width)]).astype(np.float64) @ root
-    targets = np.where(np.array(labels)[:, None] == np.array(languages), 1.0, -1.0)
+    targets = np.where(np.array(labels)[:, None] == np.array(languages), 1.0, -1.0) - model.bias
     solved = np.linalg.solve(features.T @ features + RIDGE * len(texts) * np.eye(len(chosen)), features.T @ targets)
     model.weights = (root @ solved).astype(np.float32)
     return model
@@ -140,7 +141,7 @@ def predict(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarra
     letters = np.array([t is not None and _LETTER.search(t) is not None for t in column.to_pylist()], bool)
     if model is None or not len(column):
         return [UNKNOWN] * len(column), np.zeros(len(column))
-    scores = np.concatenate([kernels(model, m) @ model.weights for m in presence_batches(column, model.column, model.landmarks.shape[0])])
+    scores = np.concatenate([kernels(model, m) @ model.weights + model.bias for m in presence_batches(column, model.column, model.landmarks.shape[0])])
     best = scores.argmax(axis=1)
     value = np.where(letters, np.clip((scores.max(axis=1) + 1) / 2, 0, 1), 0).astype(np.float64)
     return [model.languages[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)], value
