@@ -8,9 +8,11 @@ distance share a key. Pairs beyond it are found as long as one chunk agrees: at
 pair is (1 - 0.737)**9, or 6 in a million, and it falls fast above.
 
 Documents with equal sets are one vertex. Candidates come in two rounds, so that a large group of near copies isn't
-expanded into all its pairs: first each key's least document against the others of the key; then, after the links
-found have been joined into components, only pairs of a key from different components whose sizes and signatures
-allow the similarity. Every candidate is confirmed on the full sets (64-bit shingle hashes) before it links.
+expanded into all its pairs. First each key's least document, its pivot, is confirmed against the others of the key,
+and the links found are joined into components. Then each pivot with the documents of its keys is a family, which
+holds every pair that shares one of those keys: families still in several components are compared on full sets (64-bit
+shingle hashes) inside tasks, in pairs of blocks of a bounded number of documents, and only links that join two
+components of the task leave it. Pairs within a component are known to be connected and aren't compared.
 
 Null or empty texts, and texts of white space, have the empty set: they link with nothing and are kept. Rows with a
 null id are matched as others are, but have no component unless a copy has an id, and are not kept. Rows that share
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import Tables
@@ -32,16 +34,13 @@ from .components import components
 
 CHUNKS, WIDTH, ERRORS = 9, 5, 1
 SYMBOLS = CHUNKS * WIDTH
-#: Signature distance beyond which a pair of the second round isn't confirmed: over six standard deviations above
-#: the mean at similarity 0.8.
-FAR = 26
+#: Documents of a family that are compared with as many others in one task.
+FAMILY_BLOCK = 1024
 #: Ids that are broadcast to pick the texts whose sets are needed; beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
-FEATURES = "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>, signature array<long>"
+FEATURES = "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>"
 SETS = "doc_id long, shingles array<long>"
-#: Symbols are packed four to a long, each with a zero bit above it.
-LANE = 1 << 14
-_LANES = (SYMBOLS + 3) // 4
+SYMBOL_BITS = 14
 
 
 def _distinct(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -58,7 +57,7 @@ def signatures(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     out = np.empty((len(starts), SYMBOLS), U64)
     for j in range(SYMBOLS):
         out[:, j] = mix64(np.minimum.reduceat(values * factors[j] + adds[j], starts))
-    return out & U64(LANE - 1)
+    return out & U64((1 << SYMBOL_BITS) - 1)
 
 
 def index_keys(symbols: np.ndarray) -> np.ndarray:
@@ -71,16 +70,12 @@ def index_keys(symbols: np.ndarray) -> np.ndarray:
 
 
 def _feature_batches(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shift = np.arange(4, dtype=U64) * U64(15)
     for batch in batches:
         at = 0
         for values, number in _distinct(batch.column(1), k):
             full = np.flatnonzero(number)
             starts = (np.cumsum(number) - number)[full]
             symbols = signatures(values, starts) if len(full) else np.empty((0, SYMBOLS), U64)
-            lanes = np.zeros((len(full), _LANES * 4), U64)
-            lanes[:, :SYMBOLS] = symbols
-            packed = np.bitwise_or.reduce(lanes.reshape(-1, _LANES, 4) << shift, axis=2)
             prints = np.zeros((2, len(number)), U64)
             if len(full):
                 prints[0, full] = np.add.reduceat(mix64(values), starts)
@@ -92,9 +87,9 @@ def _feature_batches(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(at, len(number)).cast(pa.int64()), pa.array(number), longs(prints[0]), longs(prints[1]),
-                    pa.ListArray.from_arrays(offs(SYMBOLS), longs(index_keys(symbols))), pa.ListArray.from_arrays(offs(_LANES), longs(packed)),
+                    pa.ListArray.from_arrays(offs(SYMBOLS), longs(index_keys(symbols))),
                 ],
-                names=["doc_id", "n_shingles", "fp1", "fp2", "keys", "signature"],
+                names=["doc_id", "n_shingles", "fp1", "fp2", "keys"],
             )
             at += len(number)
 
@@ -110,30 +105,99 @@ def _set_batches(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             at += len(number)
 
 
-def signature_distance(a: Column, b: Column) -> Column:
-    """Symbols in which two packed signatures differ."""
-    low = F.lit(sum((LANE - 1) << (15 * i) for i in range(4)))
-    high = F.lit(sum(LANE << (15 * i) for i in range(4)))
-    total = F.lit(0)
-    for i in range(_LANES):
-        # Adding ones carries into the bit above a symbol unless the symbols are equal.
-        total = total + F.bit_count((F.get(a, i).bitwiseXOR(F.get(b, i)) + low).bitwiseAND(high))
-    return total
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc_id, shingles) of the documents whose ids are given."""
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    return texts.mapInArrow(lambda it: _set_batches(k, it), SETS)
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int, tables: Tables, name: str) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = tables.put(f"{name}_ids", pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    sets = tables.put(f"{name}_sets", texts.mapInArrow(lambda it: _set_batches(k, it), SETS))
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    links = both.filter(common * 100 >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
-    links = tables.put(f"{name}_links", links)
-    tables.drop(f"{name}_sets", f"{name}_ids")
-    return links
+    return both.filter(common * 100 >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+
+
+class _Family:
+    """The documents of one task's pair of blocks, compared across components."""
+
+    def __init__(self):
+        self.ids, self.labels, self.sides, self.sets = [], [], [], []
+
+    def links(self, percent: int, same: bool) -> list[tuple[int, int]]:
+        """Links that join components here; between the two blocks, or within the one if they are the same."""
+        n = len(self.ids)
+        if n < 2 or len(set(self.labels)) < 2:
+            return []
+        root = {x: x for x in self.labels}
+
+        def top(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        sizes = np.array([len(s) for s in self.sets], np.int64)
+        flat = np.concatenate(self.sets)
+        order = np.argsort(flat, kind="stable")
+        values, holders = flat[order], np.repeat(np.arange(n), sizes)[order]
+        sides = np.array(self.sides)
+        # The component with most documents is gone through last, when few of its pairs are still open.
+        labels = np.array(self.labels)
+        _, code, often = np.unique(labels, return_inverse=True, return_counts=True)
+        main = often.argmax()
+        out = []
+        for i in np.flatnonzero(code != main).tolist():
+            if not sizes[i]:
+                continue
+            lo, hi = np.searchsorted(values, self.sets[i]), np.searchsorted(values, self.sets[i], "right")
+            spans = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
+            common = np.bincount(holders[at], minlength=n)
+            near = (common * 100 >= percent * (sizes + sizes[i] - common)) & ((code == main) | (np.arange(n) > i))
+            if not same:
+                near &= sides != sides[i]
+            for j in np.flatnonzero(near).tolist():
+                a, b = top(self.labels[i]), top(self.labels[j])
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((self.ids[i], self.ids[j]))
+        return out
+
+
+def _family_links(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (pivot, one, other, block, id, component, shingles), a task's together -> links (a, b)."""
+    key, held = None, _Family()
+    pack = lambda links: pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], names=["a", "b"])
+    for batch in batches:
+        head = [batch.column(i).to_numpy() for i in range(6)]
+        shingle = batch.column(6)
+        offs, flat = shingle.offsets.to_numpy(), shingle.values.to_numpy().view(U64)
+        for r in range(batch.num_rows):
+            now = (head[0][r], head[1][r], head[2][r])
+            if now != key:
+                if key is not None and (found := held.links(percent, key[1] == key[2])):
+                    yield pack(found)
+                key, held = now, _Family()
+            held.ids.append(int(head[4][r]))
+            held.labels.append(int(head[5][r]))
+            held.sides.append(int(head[3][r]))
+            held.sets.append(flat[offs[r] : offs[r + 1]].copy())
+    if key is not None and (found := held.links(percent, key[1] == key[2])):
+        yield pack(found)
+
+
+def _family_rows(first: DataFrame, joined: DataFrame) -> DataFrame:
+    """(pivot, one, other, block, id, component) of families of three documents or more in several components."""
+    members = first.select(F.col("a").alias("pivot"), F.col("b").alias("id")).unionByName(first.select(F.col("a").alias("pivot"), F.col("a").alias("id")).distinct())
+    labelled = members.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    families = labelled.groupBy("pivot").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    families = families.filter("n > 2 and lo < hi").select("pivot", F.ceil(F.col("n") / FAMILY_BLOCK).cast("long").alias("blocks"))
+    rows = labelled.join(families, "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.select("pivot", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "block", "id", "component")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
@@ -144,38 +208,27 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     features = tables.put("features", docs.mapInArrow(lambda it: _feature_batches(k, it), FEATURES))
     classes = features.filter("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     # One row for each distinct set, with what its least document's row holds.
-    held = features.filter("n_shingles > 0").select("doc_id", "fp1", "fp2", "n_shingles", "keys", "signature")
+    held = features.filter("n_shingles > 0").select("doc_id", "fp1", "fp2", "n_shingles", "keys")
     classes = tables.put("classes", classes.filter("rep is not null"))
     reps = (
         held.join(classes.select("fp1", "fp2", "n_shingles", F.col("rep").alias("doc_id")), ["fp1", "fp2", "n_shingles", "doc_id"], "left_semi")
-        .select("doc_id", "n_shingles", "keys", "signature")
-        .dropDuplicates(["doc_id", "n_shingles", "keys"])
+        .select("doc_id", "keys")
+        .dropDuplicates()
     )
-    reps = tables.put("reps", reps)
-    index = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
+    index = tables.put("index", reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id")))
     shared = index.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last")
-    buckets = tables.put("buckets", index.join(shared.select("key", "pivot"), "key"))
-    size_of = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
-    first = tables.put("first", buckets.filter("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    links = _confirm(docs, first, k, percent, tables, "c1")
-    joined = components(links, "minhash-cc1")
-    labelled = buckets.select("key", "id").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    # The rows of keys that still hold several components, with what tells which pairs can reach the similarity.
-    rest = labelled.join(open_keys, "key").join(size_of.groupBy("id").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max")), "id")
-    rest = tables.put("rest", rest.join(reps.select(F.col("doc_id").alias("id"), "signature"), "id"))
-    side = lambda s: rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n_min", "n_max", "signature")))
-    cross = (
-        side("a")
-        .join(side("b"), "key")
-        .filter("component_a < component_b")
-        .filter((F.col("n_max_a") * 100 >= F.col("n_min_b") * percent) & (F.col("n_max_b") * 100 >= F.col("n_min_a") * percent))
-        .filter(signature_distance(F.col("signature_a"), F.col("signature_b")) <= FAR)
-    )
-    pairs = cross.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    second = tables.put("second", pairs.join(first, ["a", "b"], "left_anti"))
-    tables.drop("rest")
-    more = _confirm(docs, second, k, percent, tables, "c2")
+    first = index.join(shared.select("key", "pivot"), "key").filter("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    first = tables.put("first", first)
+    tables.drop("index")
+    ids = tables.put("ids", first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = tables.put("sets", _sets(docs, ids, k))
+    links = tables.put("links", _confirm(first, sets, percent))
+    families = tables.put("families", _family_rows(first, components(links, "minhash-cc1")))
+    by = ["pivot", "one", "other"]
+    full = families.join(sets.withColumnRenamed("doc_id", "id"), "id").select(*by, "block", "id", "component", "shingles")
+    more = full.repartition(*by).sortWithinPartitions(*by).mapInArrow(lambda it: _family_links(percent, it), "a long, b long")
+    more = tables.put("more", more.distinct())
+    tables.drop("sets", "families")
     joined = components(links.unionByName(more), "minhash-cc2")
     final = classes.join(joined, classes.rep == joined.id, "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = features.select("doc_id", "n_shingles", "fp1", "fp2").join(final, ["fp1", "fp2", "n_shingles"], "left")
