@@ -1,0 +1,260 @@
+"""Row-wise operators: secrets, licences, tokens, language, decontamination."""
+
+import hashlib
+import math
+import random
+import re
+
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontam, langid, licenses, oracle, queries, secrets, tokens
+
+DOCS = "doc_id long, text string"
+LONG = "lorem ipsum dolor " * 60_000
+
+
+def table(spark, tmp_path, name, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+# --- secrets
+
+
+def random_secret_texts(n):
+    rnd = random.Random(3)
+    letters = secrets.ALPHABET
+
+    def piece():
+        k = rnd.randrange(5, 60)
+        return rnd.choice(
+            [
+                "".join(rnd.choice(letters) for _ in range(k)), "".join(rnd.choice("0123456789abcdef") for _ in range(k)), "é日𝛐",
+                'Token: "' + "".join(rnd.choice(letters) for _ in range(k)), "API_key=" + "x" * rnd.randrange(12), "a" * k, "AKIA" + "Q9" * rnd.randrange(10),
+            ]
+        )
+
+    return [(i, rnd.choice([" ", "\n", ", ", ""]).join(piece() for _ in range(rnd.randrange(10)))) for i in range(n)]
+
+
+def test_secret_spans_match_sql_and_python(spark, tmp_path):
+    rows = random_secret_texts(300) + [(900, None), (901, ""), (902, "password password=12345678 secret token:token=abcdefghij"), (902, "token=12345678")]
+    path = table(spark, tmp_path, "documents", rows, DOCS)
+    got = sorted(map(tuple, queries.op1_secret_scan(spark, path).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(oracle.ORACLE_SQL["op1_secret_scan"]).fetchall())
+    patterns = [(k, re.compile(p if k != "hex" else "[0-9a-f]+", re.A), g, n) for k, p, g, n, _ in secrets.BASE_KINDS]
+    texts = {i: t or "" for i, t in rows if i != 902}
+    for doc_id, *_, digest, spans in got:
+        if doc_id == 902:
+            continue
+        want = sorted((m.start(), o, m.end(), k) for o, (k, p, g, n) in enumerate(patterns) for m in p.finditer(texts[doc_id]) if len(m[g]) >= n)
+        said = ",".join(f"{k}:{a}:{b}" for a, _, b, k in want)
+        assert digest == hashlib.sha256(said.encode()).hexdigest()
+        assert set(said.split(",")) - {""} <= set(spans.split(","))
+
+
+def test_entropy_needs_class_and_allow_list(spark):
+    hot = "Zq8xT1vK0pLm3RnW7yBc5DfG"
+    rows = [(0, f"see {hot} there"), (1, "EXAMPLE" + hot), (2, "123e4567-e89b-12d3-a456-426614174000"), (3, "thequickbrownfoxjumpsoverthelazydog"), (4, "9-" * 200)]
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.find_secrets(spark.createDataFrame(rows, DOCS)).collect()}
+    assert found == {0: [("entropy", 4, 4 + len(hot))], 1: [], 2: [], 3: [], 4: []}
+
+
+def window_entropy(s):
+    return -sum(s.count(c) / len(s) * math.log2(s.count(c) / len(s)) for c in set(s))
+
+
+def test_entropy_is_that_of_some_window(spark):
+    rnd = random.Random(5)
+    rows = [(i, "".join(rnd.choice("abcdefABC123xyzXYZ789") for _ in range(rnd.randrange(20, 50)))) for i in range(150)]
+    for r in secrets.find_secrets(spark.createDataFrame(rows, DOCS)).filter("size(base_spans) = 0").collect():
+        reached = [i for i in range(len(r.text) - 19) if window_entropy(r.text[i : i + 20]) >= 3.8 - 1e-6]
+        got = [(s.start, s.end) for s in r.spans]
+        assert got == ([(reached[0], reached[-1] + 20)] if reached else [])
+
+
+def test_redaction(spark):
+    rows = [(0, "a token=abcdefgh1 b", 19, "x"), (1, None, None, "y"), (2, "clean", 5, None), (3, "é token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff é", 55, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
+    out = {r.doc_id: (r.text, r.n_chars, r.spans) for r in secrets.redact(docs.drop("spans").withColumn("source", F.lit("s"))).withColumn("spans", F.lit(1)).collect()}
+    assert out == {0: ("a [SECRET] b", 12, 1), 1: (None, None, 1), 2: ("clean", 5, 1), 3: ("é [SECRET] é", 12, 1)}
+
+
+# --- licences
+
+
+def test_license_base_against_brute_force(spark, tmp_path):
+    rnd = random.Random(1)
+    words = ["cc", "by", "CC", "By", "general", "public", "license", "All", "rights", "reserved", "é", "x1", "ccx"]
+    rows = [(i, rnd.choice([" ", "-", ", ", "\n"]).join(rnd.choice(words) for _ in range(rnd.randrange(40)))) for i in range(300)] + [(500, None), (501, ""), (502, "cc by " * 3)]
+    path = table(spark, tmp_path, "documents", rows, DOCS)
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    text = dict(rows)
+    for r in queries.op4_license_scan(spark, path).collect():
+        w = licenses.WORD.findall((text[r.doc_id] or "").translate(low))
+        places = [(i, label) for phrase, label in licenses.PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+        at = [i for i, _ in places]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(at, default=None), max(at, default=None))
+        assert r.base_labels == ",".join(sorted({k for _, k in places}))
+        assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
+
+
+def test_fuzzy_notices_have_spans_and_edits():
+    scanner = licenses.Scanner()
+    text = "Héllo, é. Licensed under the Apache Licence, Version 2.0 and so on"
+    (n,) = [n for n in scanner.scan(text)["notices"] if n["label"] == "apache-2.0"]
+    assert text[n["start"] : n["end"]].startswith("Licensed under the Apache Licence") and n["edits"] == 1
+    assert not scanner.scan("the licence of poets is under no version")["notices"]
+    assert scanner.scan(None) == {"n_words": 0, "places": [], "notices": [], "score": 0.0}
+
+
+def test_seeds_lose_no_match():
+    """Every notice with edits up to its bound is found, wherever they fall."""
+    rnd = random.Random(2)
+    scanner = licenses.Scanner()
+    for label, notice, edits, _ in licenses.NOTICES:
+        for _ in range(15):
+            s = list(notice)
+            for _ in range(edits):
+                s[rnd.randrange(1, len(s) - 1)] = rnd.choice("abcdefgh")
+            found = scanner.scan("xx yy " + "".join(s) + " zz")["notices"]
+            assert label in {n["label"] for n in found}
+
+
+# --- tokens
+
+
+def test_token_counts_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library, mine = Tokenizer.from_file(tokens.default_vocabulary()), tokens.PairMerger(tokens.default_vocabulary())
+    rnd = random.Random(1)
+    texts = ["", "<|endoftext|>a b<|startoftext|>", "ΑΣ ΟΔΥΣΣΕΥΣ'S don't İstanbul é 日本語 ½ Ⅷ ٣ 👍🏽 ﬁ", "\x00\x01 b　", "<|EndOfText|> <|endoftext|", "word " * 3000, "z" * 5000]
+    pool = [(32, 127), (0x80, 0x600), (0x600, 0x3000), (0x10000, 0x20000)]
+    texts += ["".join(chr(rnd.randrange(*rnd.choice(pool))) for _ in range(rnd.randrange(30))) for _ in range(1500)]
+    texts += ["".join(rnd.choice("ab'stI <|endoftext|>éΣ́") for _ in range(rnd.randrange(30))) for _ in range(1500)]
+    assert [mine.count(t) for t in texts] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_token_query(spark, tmp_path):
+    path = table(spark, tmp_path, "documents", [(0, None), (1, ""), (2, "hello world"), (None, "hello"), (3, "a " * 2049)], DOCS)
+    got = {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op5_token_count(spark, path).collect()}
+    assert got == {(0, 0, 0, False), (1, 0, 0, False), (2, 11, 2, False), (None, 5, 1, False), (3, 4098, 2049, True)}
+
+
+# --- language
+
+
+def test_language_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op9_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    right, n = got.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 200 and right > 0.98
+    assert got.filter("score < 0 or score > 1").count() == 0
+
+
+def test_language_edges(spark):
+    rows = [(i, "the cat and the dog " * 3, "en") for i in range(8)] + [(i + 10, "der Hund und die Katze " * 3, "de") for i in range(8)] + [(30, "no label", None), (None, "der Hund", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    asked = spark.createDataFrame([(0, None, "x"), (1, "", "x"), (2, "123 !!", "x"), (3, "the dog", None), (4, "DER HUND", "en"), (5, "the cat " * 400_000, "")], "doc_id long, text string, score string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(asked, model).collect()}
+    assert [got[i][0] for i in range(6)] == ["und", "und", "und", "en", "de", "en"] and got[0][1] == got[2][1] == 0
+    assert langid.train(docs.filter("lang is null")) is None
+    assert {r.lang_pred for r in langid.identify(asked, None).collect()} == {"und"}
+
+
+def test_pieces_do_not_change_presence(monkeypatch):
+    import numpy as np
+
+    model = langid.fit(["the cat and the dog", "der Hund und die Katze"], ["en", "de"])
+    text = pa.array(["the dog und die katze " * 50])
+    whole = langid.predict(model, text)
+    monkeypatch.setattr(langid, "PIECE_BYTES", 64)
+    parts = langid.predict(model, text)
+    assert whole[0] == parts[0] and np.allclose(whole[1], parts[1])
+
+
+# --- decontamination
+
+
+def brute_leaks(docs, items):
+    """(doc_id, item index) by sliding every item over every document."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
+    from collections import Counter
+
+    bag = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = {}
+    for doc_id, text in docs:
+        w = words(text)
+        for item_id, item in items:
+            v = words(item)
+            k = min(5, len(v))
+            if not v:
+                continue
+            for s in range(len(w) - len(v) + 1):
+                similarity = decontam.weighted_similarity(bag(w[s : s + len(v)], k), bag(v, k))
+                if similarity >= 0.8:
+                    out[doc_id, item_id] = max(out.get((doc_id, item_id), 0), similarity)
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    rnd = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([3, 5, 18, 40, 60])))) for i in range(25)] + [(90, None), (91, ""), (0, "w1 w2 w1 w2 w1 w2 w1 w2")]
+    docs = []
+    for i in range(120):
+        w = [rnd.choice(vocabulary) for _ in range(rnd.randrange(150))]
+        item = (rnd.choice(items[:25])[1]).split()
+        for _ in range(rnd.randrange(4)):
+            item[rnd.randrange(len(item))] = rnd.choice(vocabulary)
+        at = rnd.randrange(len(w) + 1)
+        docs.append((i, " ".join(w[:at] + [x.upper() for x in item] + w[at:])))
+    docs += [(500, None), (501, ""), (502, LONG + items[20][1] + " " + LONG)]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.leak_pairs(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_leaks([d for d in docs if d[0] < 502], items)
+    assert {k: v for k, v in got.items() if k[0] != 502} == pytest.approx(want) and len(want) > 30
+    assert (502, items[20][0]) in got
+
+
+def test_leaks_over_several_blocks_and_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 4)
+    items = spark.createDataFrame([(i, " ".join(f"a{i}b{j}" for j in range(12))) for i in range(10)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x {' '.join(f'a{i}b{j}' for j in range(12))} y", 7) for i in range(12)], "doc_id long, text string, leaks int")
+    found = decontam.find_leaks(docs, items)
+    assert {r.doc_id: [m.item_id for m in r.leaks] for r in found.collect()} == {i: [i] if i < 10 else [] for i in range(12)}
+    assert decontam.find_leaks(docs, items.limit(0)).filter("size(leaks) > 0").count() == 0
+    assert decontam.find_leaks(docs.limit(0), items).count() == 0
+
+
+def test_multi_index_finds_every_print_within_the_radius():
+    rnd = random.Random(4)
+    items = [(i, " ".join(rnd.choice("abcdefghij") + str(rnd.randrange(99)) for _ in range(30))) for i in range(40)]
+    index = decontam.build_index(items)
+    import numpy as np
+
+    for i, own in enumerate(index.prints):
+        for _ in range(5):
+            bits = np.unpackbits(own.view(np.uint8))
+            bits[rnd.sample(range(128), decontam.RADIUS)] ^= 1
+            near = np.packbits(bits).view(np.uint16)
+            assert any(i in index.near(b, int(near[b])) for b in range(decontam.BLOCKS))
+
+
+@pytest.mark.parametrize("name", ["op1_secret_scan", "op4_license_scan", "op5_token_count", "op9_language_id", "op2_source_mix", "op6_minhash_dedup"])
+def test_empty_documents(spark, tmp_path, name):
+    path = table(spark, tmp_path, "documents", [], "doc_id long, text string, lang string, source string, n_chars long")
+    assert queries.QUERIES[name](spark, path).count() == 0
+
+
+def test_single_file_tables_are_read_too(tmp_path, spark):
+    pq.write_table(pa.table({"doc_id": [1], "text": ["hello"]}), tmp_path / "documents.parquet")
+    assert queries.op5_token_count(spark, str(tmp_path)).count() == 1
