@@ -22,7 +22,7 @@ from ..streaming import engine
 from .tables import Run
 
 UNIT = 60.0
-STEP_S, WARMUP_S, WATERMARK_S = 1800.0, 1200.0 * UNIT, 1800.0
+STEP_S, WARMUP_S, WATERMARK_S = 600.0, 1200.0 * UNIT, 1800.0
 SWEEP = (0.0, 900.0, 1800.0, 3600.0, 5400.0, 7200.0)
 #: Seconds whose shifted windows and range frames are shown; and window edges, as seconds before an instant.
 HOPPING_S, HOP_S, FRAME_S = 7200, 1800, 7200
