@@ -189,13 +189,16 @@ def _family_links(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         yield pack(found)
 
 
-def _family_rows(first: DataFrame, joined: DataFrame) -> DataFrame:
-    """(pivot, one, other, block, id, component) of families of three documents or more in several components."""
+def _family_rows(first: DataFrame, joined: DataFrame, tables: Tables) -> DataFrame:
+    """(pivot, one, other, block, id, component) of families of three documents or more in several components.
+
+    Members and family sizes are tables, so that the join of the two can be split where a family is large.
+    """
     members = first.select(F.col("a").alias("pivot"), F.col("b").alias("id")).unionByName(first.select(F.col("a").alias("pivot"), F.col("a").alias("id")).distinct())
-    labelled = members.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = tables.put("members", members.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
     families = labelled.groupBy("pivot").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     families = families.filter("n > 2 and lo < hi").select("pivot", F.ceil(F.col("n") / FAMILY_BLOCK).cast("long").alias("blocks"))
-    rows = labelled.join(families, "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = labelled.join(tables.put("family_sizes", families), "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return rows.select("pivot", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "block", "id", "component")
 
@@ -223,12 +226,12 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     ids = tables.put("ids", first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     sets = tables.put("sets", _sets(docs, ids, k))
     links = tables.put("links", _confirm(first, sets, percent))
-    families = tables.put("families", _family_rows(first, components(links, "minhash-cc1")))
+    families = tables.put("families", _family_rows(first, components(links, "minhash-cc1"), tables))
     by = ["pivot", "one", "other"]
     full = families.join(sets.withColumnRenamed("doc_id", "id"), "id").select(*by, "block", "id", "component", "shingles")
     more = full.repartition(*by).sortWithinPartitions(*by).mapInArrow(lambda it: _family_links(percent, it), "a long, b long")
     more = tables.put("more", more.distinct())
-    tables.drop("sets", "families")
+    tables.drop("sets", "families", "members", "family_sizes")
     joined = components(links.unionByName(more), "minhash-cc2")
     final = classes.join(joined, classes.rep == joined.id, "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = features.select("doc_id", "n_shingles", "fp1", "fp2").join(final, ["fp1", "fp2", "n_shingles"], "left")
