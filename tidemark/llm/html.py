@@ -222,10 +222,10 @@ class Page:
 
 
 def _open_ancestor(node: _Node) -> bool:
-    """Whether only plain elements (no navigation, footer, aside or comments) stand above."""
+    """Whether only plain elements or a form around the page (no navigation, footer, aside or comments) stand above."""
     node = node.parent
     while node is not None and node.parent is not None:
-        if node.tag in DROPPED_TAGS or node.comment:
+        if (node.tag in DROPPED_TAGS and node.tag != "form") or node.comment:
             return False
         node = node.parent
     return True
