@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.features import Derived, Feature, FeatureSet, Window, safe_ratio, standard_features
 from tidemark.operators import admission
-from tidemark.operators.grid import Grid
+from tidemark.operators.grid import Grid, Span
 from tidemark.operators.pit import feature_table
 from tidemark.plans.tables import Run
 from tidemark.schema import TICK, micros
@@ -22,9 +22,8 @@ def feed(spark, *ticks):
 def features_at(spark, ticks, at, watermark=1000.0, symbol="X", arrived=False, panes=None, features=None):
     """Features of a symbol at one instant over the ticks a stream has admitted."""
     admitted = admission.admit(admission.deduplicate(ticks), watermark)
-    span = spark.range(1).select(F.lit(micros(at)).alias("start_us"), F.lit(0).cast("long").alias("steps"))
     cells = spark.range(1).select(F.lit(symbol).alias("symbol"), F.lit(0).cast("long").alias("k"), F.lit(micros(at)).alias("at_us"))
-    return feature_table(admitted, cells, span, features or standard_features(), Grid(60.0, 0.0), arrived, panes=panes).first()
+    return feature_table(admitted, cells, Span(micros(at), 0), features or standard_features(), Grid(60.0, 0.0), arrived, panes=panes).first()
 
 
 def test_window_edges(spark):
@@ -162,10 +161,12 @@ def test_running_maximum_does_not_depend_on_its_buckets(spark):
 
 def test_grid_after_warm_up_to_the_last_event(spark):
     ticks = feed(spark, tick(0, seq=1), tick(100, seq=2, symbol="Y"), tick(65, seq=3))
-    at = [r.at_us for r in Grid(30.0, 10.0).instants(ticks).orderBy("k").collect()]
-    assert at == [micros(t) for t in (10, 40, 70, 100)]
-    assert Grid(30.0, 10.0).of_symbols(ticks).count() == 8
-    assert Grid(30.0, 101.0).instants(ticks).count() == 0 and Grid().instants(feed(spark)).count() == 0
+    grid = Grid(30.0, 10.0)
+    span = grid.span(ticks)
+    assert [r.at_us for r in grid.instants(spark, span).orderBy("k").collect()] == [micros(t) for t in (10, 40, 70, 100)]
+    assert grid.of_symbols(ticks, span).count() == 8
+    assert Grid(30.0, 101.0).span(ticks) == Grid().span(feed(spark)) == Span()
+    assert grid.instants(spark, Span()).count() == grid.of_symbols(ticks, Span()).count() == 0
 
 
 def test_empty_feed_and_empty_grid(spark):

@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import micros
 
 
+@dataclass(frozen=True)
+class Span:
+    """The first instant and the number of steps after it; no instants if `steps` is negative."""
+
+    start_us: int = 0
+    steps: int = -1
+
+
 @dataclass(frozen=True)
 class Grid:
     """Every `step_s` seconds from the first event plus `warmup_s` to the last event, both included."""
@@ -21,16 +29,22 @@ class Grid:
     def step_us(self) -> int:
         return micros(self.step_s)
 
-    def span(self, unique: DataFrame) -> DataFrame:
-        """One row: start_us and steps (null where there is no instant)."""
-        ends = unique.agg((F.min("event_us") + micros(self.warmup_s)).alias("start_us"), F.max("event_us").alias("_last"))
-        return ends.select("start_us", F.when(F.col("_last") >= F.col("start_us"), F.floor((F.col("_last") - F.col("start_us")) / self.step_us).cast("long")).alias("steps"))
+    def span(self, unique: DataFrame) -> Span:
+        """Reads the first and last event, one row; plans made with it hold them as constants."""
+        first, last = unique.agg(F.min("event_us"), F.max("event_us")).first()
+        if first is None or last < first + micros(self.warmup_s):
+            return Span()
+        start = first + micros(self.warmup_s)
+        return Span(start, (last - start) // self.step_us)
 
-    def instants(self, unique: DataFrame) -> DataFrame:
+    def instants(self, spark: SparkSession, span: Span) -> DataFrame:
         """(k, at_us)"""
-        listed = self.span(unique).filter("steps is not null").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps"))))
-        return listed.select("k", (F.col("start_us") + F.col("k") * self.step_us).alias("at_us"))
+        return spark.range(span.steps + 1).select(F.col("id").alias("k"), (F.col("id") * self.step_us + span.start_us).alias("at_us"))
 
-    def of_symbols(self, unique: DataFrame) -> DataFrame:
+    def of_symbols(self, ticks: DataFrame, span: Span) -> DataFrame:
         """(symbol, k, at_us): the instants of every symbol, which are as many rows as the feature table has."""
-        return unique.select("symbol").distinct().crossJoin(self.instants(unique))
+        symbols = ticks.select("symbol").distinct()
+        if span.steps < 0:
+            return symbols.filter("false").select("symbol", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("at_us"))
+        each = symbols.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(span.steps).cast("long"))))
+        return each.withColumn("at_us", F.col("k") * self.step_us + span.start_us)

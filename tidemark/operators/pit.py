@@ -13,21 +13,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import MERGE, FeatureSet, partial_values
-from .grid import Grid
+from .grid import Grid, Span
 
 
-def _pane(us: Column, step_us: int) -> Column:
+def _pane(us: Column, span: Span, step_us: int) -> Column:
     """The first step of the grid at or after a time, in whole numbers; negative before the grid."""
-    after = us - F.col("start_us")
+    after = us - F.lit(span.start_us).cast("long")
     return ((after + F.pmod(-after, F.lit(step_us))) / step_us).cast("long")
 
 
-def _placed(ticks: DataFrame, span: DataFrame, step_us: int, arrived: bool) -> DataFrame:
+def _placed(ticks: DataFrame, span: Span, step_us: int, arrived: bool) -> DataFrame:
     """Ticks with `pane`, the step they belong to, and `known`, the step from which they are visible."""
-    own = _pane(F.col("event_us"), step_us)
-    one_row = F.broadcast(span.filter("steps is not null"))
-    placed = ticks.crossJoin(one_row).withColumn("pane", own)
-    return placed.withColumn("known", F.greatest("pane", _pane(F.col("arrival_us"), step_us)) if arrived else F.col("pane"))
+    placed = ticks.filter(F.lit(span.steps >= 0)).withColumn("pane", _pane(F.col("event_us"), span, step_us))
+    return placed.withColumn("known", F.greatest("pane", _pane(F.col("arrival_us"), span, step_us)) if arrived else F.col("pane"))
 
 
 def _conditional(values: dict[str, Column], kind: str, where: Column) -> Column:
@@ -55,10 +53,10 @@ def _pane_partials(placed: DataFrame, cells: DataFrame, features: FeatureSet, st
     return rows.select(*out).filter("at_us is not null")
 
 
-def _late_partials(placed: DataFrame, features: FeatureSet, step_us: int, keys: list[str]) -> DataFrame:
+def _late_partials(placed: DataFrame, features: FeatureSet, span: Span, step_us: int, keys: list[str]) -> DataFrame:
     """(keys, k) with the partial columns of ticks that became known after their pane's end."""
     values = {s: partial_values(s) for s in features.sources}
-    final = F.least(F.col("pane") + features.longest_us // step_us - 1, F.col("steps"))
+    final = F.least(F.col("pane") + features.longest_us // step_us - 1, F.lit(span.steps).cast("long"))
     late = placed.filter(F.col("known") > F.col("pane")).withColumn("_from", F.greatest("known", F.lit(0).cast("long"))).withColumn("_to", final)
     spread = late.filter("_from <= _to").withColumn("k", F.explode(F.sequence("_from", "_to")))
     inside = lambda w: F.col("k") <= F.col("pane") + w.us // step_us - 1
@@ -91,7 +89,7 @@ def range_partials(ticks: DataFrame, cells: DataFrame, features: FeatureSet, arr
 
 
 def feature_table(
-    ticks: DataFrame, cells: DataFrame, span: DataFrame, features: FeatureSet, grid: Grid, arrived: bool, keys: tuple[str, ...] = ("symbol",), panes: bool | None = None
+    ticks: DataFrame, cells: DataFrame, span: Span, features: FeatureSet, grid: Grid, arrived: bool, keys: tuple[str, ...] = ("symbol",), panes: bool | None = None
 ) -> DataFrame:
     """A row per cell (keys, k, at_us) with all features over `ticks`.
 
@@ -107,7 +105,7 @@ def feature_table(
     if whole if panes is None else panes:
         table = _pane_partials(placed, cells, features, step, keys_list)
         if arrived and features.windows:
-            table = _merged(table, _late_partials(placed, features, step, keys_list), features, keys_list)
+            table = _merged(table, _late_partials(placed, features, span, step, keys_list), features, keys_list)
     else:
         as_of = FeatureSet(tuple(f for f in features.features if f.window is None))
         table = _pane_partials(placed, cells, as_of, step, keys_list)

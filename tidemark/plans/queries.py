@@ -85,7 +85,8 @@ def lateness_exact_rank(spark, sf_dir):
 
 
 def eval_grid(spark, sf_dir):
-    return _run(spark, sf_dir).grid.instants(admission.deduplicate(events_feed(spark, sf_dir)))
+    run = _run(spark, sf_dir)
+    return run.grid.instants(spark, run.span)
 
 
 def symbol_grid(spark, sf_dir):

@@ -9,13 +9,14 @@ retrospective  admitted ticks, whenever they arrived
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import FeatureSet, standard_features
 from ..operators.admission import DEFAULT_WATERMARK_S, admit, deduplicate, is_late, with_previous_max
-from ..operators.grid import Grid
+from ..operators.grid import Grid, Span
 from ..operators.pit import feature_table
 from ..schema import micros
 
@@ -30,8 +31,15 @@ class Run:
 
     def __post_init__(self):
         self.unique = deduplicate(self.ticks)
-        self.span = self.grid.span(self.unique)
-        self.cells = self.grid.of_symbols(self.unique)
+
+    @cached_property
+    def span(self) -> Span:
+        """Read once for all tables of the run."""
+        return self.grid.span(self.unique)
+
+    @property
+    def cells(self) -> DataFrame:
+        return self.grid.of_symbols(self.ticks, self.span)
 
     def _table(self, ticks: DataFrame, arrived: bool) -> DataFrame:
         return feature_table(ticks, self.cells, self.span, self.features, self.grid, arrived, panes=self.panes)
