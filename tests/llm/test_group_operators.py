@@ -218,7 +218,9 @@ def vectors(seed=5):
     return rows
 
 
-def test_vectors_against_brute_force(spark):
+@pytest.mark.parametrize("block", [1024, 24])
+def test_vectors_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(lattice, "FAMILY_BLOCK", block)
     rows = vectors()
     rows += [(800 + i, rows[3][1]) for i in range(30)] + [(850, [2 * x for x in rows[3][1]])]
     x = np.array([v for _, v in rows])
@@ -310,6 +312,7 @@ def test_page_structure():
     assert html.main_text(page) == "Head & line\nOne two three\nNext para <b>\na\nb"
     assert html.main_text("<p>plain <p>page</p> tail <div hidden>x</div>") == "plain\npage\ntail"
     assert html.main_text("<div class=ad><article><p>left open") == "left open"
+    assert html.main_text("<form><nav>m</nav><article><p>in a form<aside>s</aside></article></form>") == "in a form"
     assert html.main_text("a < b & c") == "a < b & c" and html.main_text("") == html.main_text(None) == ""
     assert html.main_text("<p>x</p>" + "<div>" * 3000 + "deep") == "x\ndeep"
 

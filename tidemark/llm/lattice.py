@@ -30,10 +30,11 @@ from .components import components
 
 TABLES, PROBES, SCALE = 12, 16, 0.6
 NEIGHBOURS = 10
-#: Signs of 64 that may differ: at cosine 0.9 nine do, with a deviation of 2.8.
-SIGN_DISTANCE = 24
+#: Vectors of a family that are compared with as many others in one task.
+FAMILY_BLOCK = 1024
 _CHUNK = 256
-FEATURES = "vec_id long, vector array<double>, fp1 long, fp2 long, sketch long, own array<long>, cells array<long>"
+FEATURES = "vec_id long, vector array<double>, fp1 long, fp2 long, own array<long>, cells array<long>"
+FOUND = "a long, b long, n long"
 
 
 def shortest_vectors() -> np.ndarray:
@@ -64,13 +65,12 @@ def decode(y: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Cells and sign sketches of unit vectors of one length."""
+    """Cells of unit vectors of one length."""
 
     def __init__(self, length: int, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE):
         rng = np.random.default_rng([length, 8])
         self.tables, self.probes = tables, probes
         self.directions = rng.normal(size=(length, tables * 2 * 8)) * scale
-        self.signs = rng.normal(size=(length, 64))
         self.factors = odd_constants(8, 11)
         self.salts = mix64(np.arange(tables, dtype=U64) * U64(1 << 20) + U64(length))
 
@@ -98,9 +98,6 @@ class Hasher:
         own = mix64(hashed[:, :, 0, :1] * U64(3) + hashed[:, :, 1, :1] * U64(7) + salts)
         return own[:, :, 0], looked.reshape(n, -1)
 
-    def sketch(self, unit: np.ndarray) -> np.ndarray:
-        return np.packbits(unit @ self.signs > 0, axis=1).view(U64)[:, 0]
-
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashers: dict[int, Hasher] = {}
@@ -130,21 +127,88 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([ids[i] for i in of], pa.int64()), lists(pa.array(unit.ravel()), length),
-                        longs(bits.sum(axis=1, dtype=U64)), longs(mix64(bits).sum(axis=1, dtype=U64)), longs(hashers[length].sketch(unit)),
+                        longs(bits.sum(axis=1, dtype=U64)), longs(mix64(bits).sum(axis=1, dtype=U64)),
                         lists(longs(own), own.shape[1]), lists(longs(looked), looked.shape[1]),
                     ],
-                    names=["vec_id", "vector", "fp1", "fp2", "sketch", "own", "cells"],
+                    names=["vec_id", "vector", "fp1", "fp2", "own", "cells"],
                 )
 
 
-def cosines(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Dot product of unit vectors; null where the lengths differ."""
-    na, nb = np.diff(a.offsets.to_numpy()), np.diff(b.offsets.to_numpy())
-    if len(na) and (na == na[0]).all() and (nb == na[0]).all():
-        x, y = (c.flatten().to_numpy().reshape(len(na), na[0]) for c in (a, b))
-        return pa.array((x * y).sum(axis=1))
-    pairs = zip(a.to_pylist(), b.to_pylist(), strict=True)
-    return pa.array([float(np.dot(x, y)) if len(x) == len(y) else None for x, y in pairs], pa.float64())
+class _Family:
+    """The vectors of one task's pair of blocks."""
+
+    def __init__(self):
+        self.ids, self.sides, self.copies, self.vectors, self.pivots = [], [], [], [], []
+
+    def compare(self, pivot: int, same: bool, least: float) -> list[tuple[int, int | None, int | None]]:
+        """(id, null, links counted here) and (a, b, null) of a spanning forest of the links."""
+        n = len(self.ids)
+        if n < 2:
+            return []
+        lengths = np.array([len(v) for v in self.vectors])
+        x = np.zeros((n, lengths.max()))
+        for i, v in enumerate(self.vectors):
+            x[i, : len(v)] = v
+        ids, sides = np.array(self.ids), np.array(self.sides)
+        link = (x @ x.T >= least) & (lengths[:, None] == lengths) & (ids[:, None] != ids)
+        if not same:
+            link &= sides[:, None] != sides
+        if not link.any():
+            return []
+        counted = link & ~self._met_before(pivot, n)
+        number = counted @ np.array(self.copies, np.int64)
+        out: list[tuple[int, int | None, int | None]] = [(int(ids[i]), None, int(number[i])) for i in np.flatnonzero(number)]
+        open_ = link.any(axis=1)
+        for start in range(n):
+            if not open_[start]:
+                continue
+            open_[start] = False
+            ahead = [start]
+            while ahead:
+                i = ahead.pop()
+                reached = np.flatnonzero(link[i] & open_)
+                open_[reached] = False
+                ahead += reached.tolist()
+                out += [(int(ids[i]), int(ids[j]), None) for j in reached]
+        return out
+
+    def _met_before(self, pivot: int, n: int) -> np.ndarray:
+        """Pairs that also meet in a family of a lesser pivot."""
+        owner = np.repeat(np.arange(n), [len(p) for p in self.pivots])
+        flat = np.concatenate(self.pivots)
+        owner, flat = owner[flat < pivot], flat[flat < pivot]
+        values, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = often[column] > 1
+        of = np.cumsum(often > 1) - 1
+        held = np.zeros((n, int((often > 1).sum())), np.float32)
+        held[owner[shared], of[column[shared]]] = 1
+        return held @ held.T > 0
+
+
+def _compare_batches(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (pivot, one, other, block, id, copies, vector, pivots), a task's together -> FOUND."""
+    key, held = None, _Family()
+
+    def pack(found):
+        columns = zip(*found, strict=True) if found else [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n"])
+
+    for batch in batches:
+        head = [batch.column(i).to_numpy() for i in range(6)]
+        lists = [(batch.column(i).offsets.to_numpy(), batch.column(i).values.to_numpy()) for i in (6, 7)]
+        for r in range(batch.num_rows):
+            now = (head[0][r], head[1][r], head[2][r])
+            if now != key:
+                if key is not None:
+                    yield pack(held.compare(key[0], key[1] == key[2], least))
+                key, held = now, _Family()
+            held.sides.append(head[3][r])
+            held.ids.append(head[4][r])
+            held.copies.append(head[5][r])
+            for (offs, values), into in zip(lists, (held.vectors, held.pivots), strict=True):
+                into.append(values[offs[r] : offs[r + 1]].copy())
+    if key is not None:
+        yield pack(held.compare(key[0], key[1] == key[2], least))
 
 
 def near_vectors(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
@@ -158,20 +222,23 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
     # One row for each distinct vector. Classes whose rows all lack an id have no vertex of their own.
     reps = features.join(
         classes.select("fp1", "fp2", F.col("rep").alias("vec_id"), "copies"), ["fp1", "fp2", "vec_id"]
-    ).dropDuplicates(["fp1", "fp2", "vec_id"]).select(F.col("vec_id").alias("id"), "copies", "vector", "sketch", "own", "cells")
+    ).dropDuplicates(["fp1", "fp2", "vec_id"]).select(F.col("vec_id").alias("id"), "copies", "vector", "own", "cells")
     reps = tables.put("reps", reps)
-    filed = reps.select(F.explode("own").alias("cell"), F.col("id").alias("a"), F.col("sketch").alias("sa"))
-    looking = reps.select(F.explode("cells").alias("cell"), F.col("id").alias("b"), F.col("sketch").alias("sb"))
-    met = filed.join(looking, "cell").filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= SIGN_DISTANCE))
-    candidates = tables.put("candidates", met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    vector = lambda k, v: reps.select(F.col("id").alias(k), F.col("vector").alias(v))
-    both = candidates.join(vector("a", "va"), "a").join(vector("b", "vb"), "b")
-    links = tables.put("links", both.withColumn("cosine", F.arrow_udf(cosines, "double")("va", "vb")).filter(F.col("cosine") >= least).select("a", "b").distinct())
-    tables.drop("candidates")
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = reps.groupBy("id").agg(F.sum("copies").alias("copies"))
-    degree = ends.join(copies, ends.b == copies.id).groupBy("a").agg(F.sum("copies").alias("others"))
-    joined = components(links, "lattice-cc")
+    looking = reps.select(F.explode("cells").alias("cell"), "id", "own").select("cell", "id", F.array_contains("own", F.col("cell")).alias("filed"))
+    shared = looking.groupBy("cell").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.max("filed").alias("filed")).filter("filed and pivot < last")
+    members = tables.put("members", looking.select("cell", "id").join(shared.select("cell", "pivot"), "cell").select("pivot", "id").distinct())
+    sizes = tables.put("sizes", members.groupBy("pivot").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("long").alias("blocks")))
+    known = members.groupBy("id").agg(F.collect_list("pivot").alias("pivots"))  # as many as a vector has cells, at most
+    told = tables.put("told", reps.select("id", "copies", "vector").join(known, "id"))
+    rows_of = members.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows_of = rows_of.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    by = ["pivot", "one", "other"]
+    tasks = rows_of.select("pivot", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "block", "id").join(told, "id")
+    dealt = tasks.select(*by, "block", "id", "copies", "vector", "pivots").repartition(*by).sortWithinPartitions(*by)
+    found = tables.put("found", dealt.mapInArrow(lambda it: _compare_batches(least, it), FOUND))
+    tables.drop("members", "sizes", "told")
+    degree = found.filter("n is not null").groupBy("a").agg(F.sum("n").alias("others"))
+    joined = components(found.filter("b is not null").select("a", "b"), "lattice-cc")
     final = (
         classes.join(degree, classes.rep == degree.a, "left")
         .join(joined, classes.rep == joined.id, "left")
