@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import small_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
 #: Pixels on a side of an image's tile, tokens per second of audio and per page of a document.
@@ -141,6 +143,7 @@ def format_chat(messages: DataFrame) -> DataFrame:
         F.struct(F.lit("text").alias("type"), F.col("text"), *(F.lit(None).alias(n) for n in ("ref", "width", "height", "seconds", "pages")))
     ).cast(f"array<{PART}>")
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), parts.alias("parts"))
+    small_batches(messages.sparkSession)
     by = ["conv_id", "turn", "role"]
     placed = rows.repartition("conv_id").sortWithinPartitions(*by, F.to_json("parts"))
     return placed.mapInArrow(_format, TURNS)

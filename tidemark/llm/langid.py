@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import small_batches
 from ._words import U64, mix64, text_bytes
 from .mixing import seeded_uniform
 
@@ -174,6 +175,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """`docs` with `lang_pred` and `score` (columns of these names are replaced)."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")

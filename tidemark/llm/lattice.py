@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Tables
+from ._store import Tables, small_batches
 from ._words import U64, mix64, odd_constants
 from .components import components
 
@@ -214,6 +214,7 @@ def _compare_batches(least: float, batches: Iterator[pa.RecordBatch]) -> Iterato
 def near_vectors(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
     """(vec_id, embedding) -> a row per vector: vec_id, n_links, component_id, kept."""
     spark = embeddings.sparkSession
+    small_batches(spark)
     tables = Tables(spark, "lattice")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     features = tables.put("features", rows.mapInArrow(_features, FEATURES))

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import small_batches
+
 #: The base's phrases and labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Label, short notice, edits allowed, weight in the score.
@@ -153,6 +155,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
         for texts in batches:
             yield pa.array([scanner.scan(t) for t in texts.to_pylist()], _RESULT_TYPE)
 
+    small_batches(docs.sparkSession)
     names = ["n_words", "places", "notices", "score"]
     found = docs.drop(*names).withColumn("_found", scan(F.col(text)))
     return found.select("*", *(f"_found.{n}" for n in names)).drop("_found")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Tables
+from ._store import Tables, small_batches
 from ._words import BLANKS, U64, mix64, odd_constants, shingles, word_batches
 from .components import components
 
@@ -206,6 +206,7 @@ def _family_rows(first: DataFrame, joined: DataFrame, tables: Tables) -> DataFra
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     """(doc_id, text) -> a row per document: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
+    small_batches(spark)
     tables = Tables(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = tables.put("features", docs.mapInArrow(lambda it: _feature_batches(k, it), FEATURES))

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ._store import small_batches
+
 #: Words whose counts a worker remembers; the memory is emptied when full.
 CACHE_WORDS = 400_000
 
@@ -136,4 +138,5 @@ def token_count(text: Column, vocabulary: str | None = None) -> Column:
 
 def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str | None = None, out: str = "n_tokens") -> DataFrame:
     """`docs` with the column `out` (a column of that name is replaced)."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, F.coalesce(token_count(F.col(text), vocabulary), F.lit(0).cast("long")))
