@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-An item's words (A-Z lower-cased, cut at ASCII white space) give its bag of 5-word shingles; an item of fewer words is
+An item's words (runs of ASCII letters and digits, A-Z lower-cased, and of characters from U+0080, so that punctuation
+makes no difference) give its bag of 5-word shingles; an item of fewer words is
 one shingle of its own length. A document's window has as many words as the item, and a window matches if the weighted
 (multiset) Jaccard similarity of the two bags is at least 0.8.
 
@@ -27,8 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._words import BLANKS, U64, mix64, shingles, word_batches
+from ._store import small_batches
+from ._words import U64, mix64, separators, shingles, word_batches
 
+#: By byte: what stands between words.
+BREAKS = separators((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 SHINGLE = 5
 SIMILARITY = 0.8
 BLOCKS, BLOCK_BITS, BLOCK_ERRORS = 8, 16, 3
@@ -78,7 +82,7 @@ class Index:
 def build_index(items: list[tuple[int | None, str | None]]) -> Index | None:
     ids, words, bags, prints, owners, values, sizes = [], [], [], [], [], [], set()
     for item_id, text in items:
-        for _, _, hashes, counts in word_batches(pa.array([text or ""]), BLANKS):
+        for _, _, hashes, counts in word_batches(pa.array([text or ""]), BREAKS):
             if not len(hashes):
                 continue
             k = min(SHINGLE, len(hashes))
@@ -153,7 +157,7 @@ def _matches(index: Index, runs: np.ndarray, k: int) -> Iterator[tuple[int, int,
 
 def match_texts(index: Index, column: pa.Array) -> list[list[dict]]:
     out: list[list[dict]] = [[] for _ in range(len(column))]
-    for first, _, hashes, counts in word_batches(column, BLANKS):
+    for first, _, hashes, counts in word_batches(column, BREAKS):
         for k in index.sizes:
             fits = counts >= k
             if not fits.any():
@@ -185,6 +189,7 @@ def _match_column(index: Index, text: Column, sc) -> Column:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with `leaks`: the benchmark items each text holds (a column of that name is replaced)."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Tables
+from ._store import Tables, small_batches
 
 MIN_PAGES, MIN_SHARE = 5, 0.2
 #: Hosts with a template that are broadcast with it; beyond, the join is shuffled.
@@ -216,7 +216,8 @@ class Page:
                         n.dropped = n.tag in DROPPED_TAGS or n.comment or (n.parent is not None and _inside(n.parent, roots) and n.parent.dropped)
             if roots:
                 found = [(n, t) for n, t in self.blocks if not n.dropped and _inside(n, roots) and (not n.header or n.tag in HEADINGS)]
-                if found:
+                # A name alone marks the main part only if it holds most of the text.
+                if found and (kind != "name" or 2 * sum(len(t) for _, t in found) >= sum(len(t) for n, t in self.blocks if not n.dropped)):
                     return found, kind
         return [(n, t) for n, t in self.blocks if not n.dropped and not n.header], ""
 
@@ -299,6 +300,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """`pages` (url, html) with `text`, the article's blocks, and n_chars, its code points."""
     named = pages.drop("text", "n_chars").withColumn("_host", host_of(F.col("url")))
+    small_batches(pages.sparkSession)
     tables = Tables(pages.sparkSession, "html")
     templates = tables.put("templates", site_templates(named.select(F.col("_host").alias("host"), "html"), min_pages, min_share))
     templates = templates.select(F.col("host").alias("_host"), F.col("template").alias("_template"))
