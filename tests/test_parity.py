@@ -1,5 +1,7 @@
 """Generated feeds, the laws that relate the tables, statistics, comparison, stores, transport, streaming, commands."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +157,9 @@ def test_no_rows_is_no_agreement(spark):
 
 def test_exact_ranks(spark):
     at = lambda v: tuple(statistics.ranked(spark.createDataFrame([(x,) for x in v], "v long"), "v", {"p99": statistics.P99, "median": statistics.MEDIAN}).first())
+    wide = lambda w: tuple(statistics.ranked(spark.range(-500, 700).select((F.col("id") * 7 % 1200).alias("v")), "v", {"p99": statistics.P99, "median": statistics.MEDIAN}, w).first())
+    ordered = sorted(int(math.fmod(i * 7, 1200)) for i in range(-500, 700))
+    assert wide(1) == wide(13) == wide(10**6) == (ordered[int(1200 * 0.99) - 1], ordered[600])
     assert at(range(10)) == (8, 5) and at([7]) == (7, 7) and at([1, 1, 1, 2]) == (1, 1) and at([]) == (None, None)
 
 

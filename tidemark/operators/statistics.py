@@ -25,14 +25,22 @@ def inversions(ticks: DataFrame, time: str = "event_us", keys: tuple[str, ...] =
     return joined.filter(F.col(time) < F.coalesce("_before", "_tail")).drop("_bucket", "_tail", "_before")
 
 
-def ranked(values: DataFrame, column: str, ranks: dict[str, str]) -> DataFrame:
+def ranked(values: DataFrame, column: str, ranks: dict[str, str], width: int = 1_000_000) -> DataFrame:
     """One row: for each name, the value at a 0-based rank of the sorted column. A rank is an SQL expression over `n`.
 
-    Values are counted first, so the running count goes over distinct values only.
+    Values are counted, and the counts summed per range of `width`. The running count over ranges shows in which of
+    them the ranks lie; only those are sorted. (Of microseconds, there are as many ranges as seconds.)
     """
-    counts = values.groupBy(F.col(column).alias("_value")).count()
-    upto = Window.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    ran = counts.withColumn("_upto", F.sum("count").over(upto)).withColumn("n", F.sum("count").over(Window.partitionBy()))
+    counts = values.groupBy(F.floor(F.col(column) / F.lit(width)).alias("_range"), F.col(column).alias("_value")).count()
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = counts.groupBy("_range").agg(F.sum("count").alias("_held"))
+    ranges = ranges.withColumn("_end", F.sum("_held").over(upto)).withColumn("n", F.sum("_held").over(Window.partitionBy()))
+    lies = F.lit(False)
+    for rank in ranks.values():
+        lies = lies | ((F.expr(rank) < F.col("_end")) & (F.expr(rank) >= F.col("_end") - F.col("_held")))
+    near = counts.join(ranges.filter(lies), "_range")
+    inside = Window.partitionBy("_range").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    ran = near.withColumn("_upto", F.col("_end") - F.col("_held") + F.sum("count").over(inside))
     hit = lambda rank: (F.expr(rank) < F.col("_upto")) & (F.expr(rank) >= F.col("_upto") - F.col("count"))
     return ran.agg(*(F.max(F.when(hit(rank), F.col("_value"))).alias(name) for name, rank in ranks.items()))
 
