@@ -40,13 +40,15 @@ class Tables:
             path.getFileSystem(conf).delete(path, True)
 
 
-#: Rows of text that cross to Python at once, at most: a batch of long texts has to fit into a worker's memory.
+#: Rows of text that are read from Parquet or cross to Python at once, at most: a batch of long texts has to fit into
+#: an executor's and a worker's memory.
 BATCH_ROWS = 500
+_BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lowers the session's Arrow batches to `rows`; a lower setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > rows:
-        spark.conf.set(name, str(rows))
+    """Lowers the session's batches to `rows`; lower settings stay."""
+    for name in _BATCHES:
+        now = int(spark.conf.get(name))
+        if now <= 0 or now > rows:
+            spark.conf.set(name, str(rows))

@@ -1,7 +1,7 @@
 """Word and shingle hashes of whole Arrow batches, in NumPy over the texts' bytes.
 
-Texts are cut into pieces of a few MB at most, between documents or, in a very long one, at a separator, so memory
-is bounded by the longest word and not by the longest text; each word is hashed alike wherever it is cut.
+Texts are cut into pieces of half a MB, between documents or, in a very long one, at a separator; what is held beside
+the texts is a few arrays of a piece's length and eight bytes a word. Each word is hashed alike wherever it is cut.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 U64 = np.uint64
 
 

@@ -36,8 +36,8 @@ TRAIN_CHARS = 20_000
 LANDMARKS = 128
 MAX_LANGUAGES = 200
 RIDGE = 1e-3
-PIECE_BYTES = 1 << 20
-PIECE_DOCS = 256
+PIECE_BYTES = 1 << 19
+PIECE_DOCS = 128
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -56,6 +56,7 @@ class Model:
     weights: np.ndarray  # landmarks by languages
     bias: np.ndarray  # by language: the value of a text that shares nothing with any landmark
     sizes: np.ndarray  # root of the buckets of each landmark
+    dense: np.ndarray | None = None  # `landmarks` for products, made where they are first needed
 
 
 def buckets(data: np.ndarray, order: int) -> np.ndarray:
@@ -128,13 +129,15 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS) -> Mode
     features = np.concatenate([kernels(model, m) for m in presence_batches(pa.array(texts), column, width)]).astype(np.float64) @ root
     targets = np.where(np.array(labels)[:, None] == np.array(languages), 1.0, -1.0) - model.bias
     solved = np.linalg.solve(features.T @ features + RIDGE * len(texts) * np.eye(len(chosen)), features.T @ targets)
-    model.weights = (root @ solved).astype(np.float32)
+    model.weights, model.dense = (root @ solved).astype(np.float32), None
     return model
 
 
 def kernels(model: Model, presence: np.ndarray) -> np.ndarray:
     own = np.sqrt(np.maximum(presence.sum(axis=1, dtype=np.int64), 1)).astype(np.float32)
-    return presence.astype(np.float32) @ model.landmarks.astype(np.float32) / own[:, None] / model.sizes
+    if model.dense is None:
+        model.dense = model.landmarks.astype(np.float32)
+    return presence.astype(np.float32) @ model.dense / own[:, None] / model.sizes
 
 
 def predict(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarray]:
