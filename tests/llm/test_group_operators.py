@@ -317,6 +317,23 @@ def test_page_structure():
     assert html.main_text("<p>x</p>" + "<div>" * 3000 + "deep") == "x\ndeep"
 
 
+@pytest.mark.parametrize(
+    "middle",
+    ["<svg-icon name=x></svg-icon>", "<svg/>", "<svg viewBox='0 0 1 1' />", "<button-group></button-group>", "<template-x></template-x>", "<iframe src='x'/>", "<button>Share",
+     "<select><option>a<option>b", "<button/>", "<noscript><img src=x>", "<script-x></script-x>", "<button><div>Share</div></button>", "<button>A<button>B</button>", "<SVG><g><svg></svg>t</g></SVG>"],
+)
+def test_skipped_elements_do_not_cut_the_page(middle):
+    assert html.main_text(f"<article><p>one</p>{middle}<p>two</p><p>three</p></article><p>out</p>") == "one\ntwo\nthree"
+
+
+def test_skipped_elements_within_a_line():
+    assert html.main_text("<p>see <svg><title>t</title><path/></svg> this <button type=button><p>x</p></button>line</p>") == "see this line"
+    assert html.main_text("<div><button>Share</div><p>x</p><div></button>y</div>") == "x\ny"
+    assert html.main_text("<ul><li>a<button>b<p>c</button>d<li>e</ul>") == "a d\ne"
+    assert html.main_text("<p>a<script>x</script foo>b</p>" + "<button>" * 20_000) == "a b"
+
+
+
 def test_site_templates(spark):
     pages = []
     for i in range(30):

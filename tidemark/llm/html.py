@@ -10,6 +10,10 @@ how many of a host's pages with different content each subtree stands; those on
 of the host's pages are the site's template, and are deleted. Paragraphs and headings inside a marked article are
 never taken for template, as articles may quote or repeat each other.
 
+Buttons, selects, svg, noscript and template elements are left out up to their end tag. If it doesn't come before the
+block around them ends, only what stands up to the next block tag is. Script, style, title, textarea and iframe hold all
+up to their end tag, or else the rest of the page, as HTML says; if closed in their own tag (<iframe/>), they are empty.
+
 Character references are decoded; white space (Unicode) inside a block becomes one blank; blocks are joined by line
 feeds in page order. Null or empty html gives empty text. Pages without a url, or with one without a host, are those
 of one host. Pages repeated with the same content count once. Extra columns pass through; those of the result's names
@@ -19,6 +23,7 @@ are replaced.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -34,7 +39,8 @@ MIN_PAGES, MIN_SHARE = 5, 0.2
 BROADCAST_HOSTS = 20_000
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe|select|button)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<(?:script|style|textarea|title|iframe)(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?/>"
+    r"|<(script|style|textarea|title|iframe)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
     re.S | re.I,
 )
@@ -61,6 +67,9 @@ DROPPED_NAMES = frozenset(
 )
 MAIN_NAMES = frozenset("article post entry story content".split())
 PROTECTED = HEADINGS | frozenset("p blockquote pre".split())
+#: Elements within lines whose content is left out.
+SKIPPED = frozenset("button select svg noscript template".split())
+_ANY_SKIPPED = re.compile(r"<(?:button|select|svg|noscript|template)[\s/>]", re.I)
 PAGE = 0
 
 
@@ -80,6 +89,38 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def _skipped_ends(tokens: list[re.Match]) -> dict[int, int]:
+    """Token of each outermost start of a skipped element -> that of its end; its own if the element is empty, -1 if it has none
+    before the block around it ends."""
+    found: dict[int, int] = {}
+    opened: list[tuple[str, int]] = []
+    counts: Counter[str] = Counter()
+    for i, m in enumerate(tokens):
+        tag = m[3] and m[3].lower()
+        if not tag or not (tag in SKIPPED or tag in BLOCKS):
+            continue
+        if not m[2]:
+            if tag in SKIPPED:
+                empty = m[4].endswith("/")
+                found[i] = i if empty else -1
+                if empty and tag == "svg":
+                    continue
+            opened.append((tag, i))
+            counts[tag] += 1
+            continue
+        if not counts[tag]:
+            continue
+        at = len(opened) - 1
+        while opened[at][0] != tag and not (tag in SKIPPED and opened[at][0] in ("table", "td", "th", "caption")):
+            at -= 1
+        if opened[at][0] == tag:
+            if tag in SKIPPED:
+                found[opened[at][1]] = i
+            counts.subtract(t for t, _ in opened[at:])
+            del opened[at:]
+    return found
+
+
 class Page:
     """The block elements of a page and its blocks of text, in order."""
 
@@ -88,14 +129,28 @@ class Page:
         self.nodes: list[_Node] = []
         self._text: list[str] = []
         self._now = _Node("", None)
-        for m in _TOKEN.finditer(html):
+        tokens, ends = _TOKEN.finditer(html), {}
+        if _ANY_SKIPPED.search(html):
+            tokens = list(tokens)
+            ends = _skipped_ends(tokens)
+        upto, skipping = -1, False
+        for i, m in enumerate(tokens):
+            if i <= upto:
+                continue
             tag = m[3]
             if tag:
+                tag = tag.lower()
+                if i in ends:
+                    self._text.append(" ")
+                    upto, skipping = ends[i], skipping or ends[i] < 0
+                    continue
+                if tag in BLOCKS and tag != "option":
+                    skipping = False
                 if m[2]:
-                    self._end(tag.lower())
+                    self._end(tag)
                 else:
-                    self._start(tag.lower(), m[4])
-            elif m[1]:
+                    self._start(tag, m[4])
+            elif m[1] or skipping:
                 self._text.append(" ")
             else:
                 piece = m[0]
