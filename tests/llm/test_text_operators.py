@@ -92,6 +92,15 @@ def test_base_spans_and_allowed_words_cut_candidates_only_where_they_are(spark):
     assert not any(secret in t for t in clean for secret in (hot, other)) and clean[2] == "/srv/samples[SECRET]"
 
 
+def test_random_tokens_of_each_alphabet_are_found(spark):
+    rnd = random.Random(8)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = [upper, upper + "234567", upper.lower() + "0123456789", upper + upper.lower()]
+    rows = [(i, "".join(rnd.choice(alphabets[i % 4]) for _ in range(20))) for i in range(800)]
+    found = [r.doc_id % 4 for r in secrets.find_secrets(spark.createDataFrame(rows, DOCS)).filter("size(spans) > 0").collect()]
+    assert all(found.count(k) >= 180 for k in range(4))
+
+
 def test_redaction(spark):
     rows = [(0, "a token=abcdefgh1 b", 19, "x"), (1, None, None, "y"), (2, "clean", 5, None), (3, "é token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff é", 55, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
