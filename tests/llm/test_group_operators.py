@@ -326,6 +326,16 @@ def test_skipped_elements_do_not_cut_the_page(middle):
     assert html.main_text(f"<article><p>one</p>{middle}<p>two</p><p>three</p></article><p>out</p>") == "one\ntwo\nthree"
 
 
+def test_template_paragraphs_inside_a_main_part(spark):
+    pages = []
+    for h, (tag, end) in enumerate([("<main>", "</main>"), ("<div class=content>", "</div>"), ("<article>", "</article>")]):
+        pages += [(h * 100 + i, f"https://h{h}/", f"{tag}<p>Join our list</p>{'<p>often</p>' if i % 2 else ''}<p>own text {i}</p>{end}") for i in range(10)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(10):
+        often = "often\n" if i % 2 else ""
+        assert got[i] == got[100 + i] == f"{often}own text {i}" and got[200 + i] == f"Join our list\n{often}own text {i}"
+
+
 def test_skipped_elements_within_a_line():
     assert html.main_text("<p>see <svg><title>t</title><path/></svg> this <button type=button><p>x</p></button>line</p>") == "see this line"
     assert html.main_text("<div><button>Share</div><p>x</p><div></button>y</div>") == "x\ny"

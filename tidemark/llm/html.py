@@ -8,7 +8,8 @@ it counts; a heading in an article's header stays.
 Of the block elements that are left, each subtree (tag, texts and subtrees below, in order) is hashed. Spark counts on
 how many of a host's pages with different content each subtree stands; those on at least MIN_PAGES pages and MIN_SHARE
 of the host's pages are the site's template, and are deleted. Paragraphs and headings inside a marked article are
-never taken for template, as articles may quote or repeat each other.
+never taken for template, as articles may quote or repeat each other; in a main part marked otherwise they are if they
+stand on at least MAIN_SHARE of the host's pages.
 
 Buttons, selects, svg, noscript and template elements are left out up to their end tag. If it doesn't come before the
 block around them ends, only what stands up to the next block tag is. Script, style, title, textarea and iframe hold all
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from ._store import Tables, small_batches
 
 MIN_PAGES, MIN_SHARE = 5, 0.2
+#: The share that paragraphs and headings in a main part other than an article need.
+MAIN_SHARE = 0.9
 #: Hosts with a template that are broadcast with it; beyond, the join is shuffled.
 BROADCAST_HOSTS = 20_000
 
@@ -295,8 +298,11 @@ def _inside(node: _Node | None, roots: set[int]) -> bool:
     return False
 
 
-def _may_be_template(node: _Node, kind: str) -> bool:
-    return node.parent is not None and bool(node.hash) and not node.main and not (kind and node.tag in PROTECTED)
+def _template_key(node: _Node, kind: str) -> int:
+    """What the subtree is counted by: its hash, negative for paragraphs and headings in a main part that is no article; 0 if it is never template."""
+    if node.parent is None or node.main or (kind == "article" and node.tag in PROTECTED):
+        return 0
+    return -node.hash if kind and node.tag in PROTECTED else node.hash
 
 
 def subtree_hashes(html: str | None) -> tuple[list[int], int]:
@@ -307,8 +313,8 @@ def subtree_hashes(html: str | None) -> tuple[list[int], int]:
         while node is not None and node.parent is not None:
             if node.main == kind and kind:
                 break
-            if _may_be_template(node, kind):
-                found[node.hash] = None
+            if key := _template_key(node, kind):
+                found[key] = None
             node = node.parent
     return list(found), xxhash.xxh3_64_intdigest("\n".join(t for _, t in blocks)) >> 1
 
@@ -320,7 +326,7 @@ def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset(
     out = []
     for block, text in blocks:
         node = block
-        while node is not None and not (_may_be_template(node, kind) and node.hash in template):
+        while node is not None and not ((key := _template_key(node, kind)) and key in template):
             node = None if kind and node.main == kind else node.parent
         if node is None:
             out.append(text)
@@ -349,7 +355,8 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     counts = rows.groupBy("host", "subtree").agg(F.count("*").alias("pages"))
     totals = counts.filter(F.col("subtree") == PAGE).select("host", F.col("pages").alias("total"))
     common = counts.filter((F.col("subtree") != PAGE) & (F.col("pages") >= min_pages)).join(totals, "host")
-    return common.filter(F.col("pages") >= F.col("total") * min_share).groupBy("host").agg(F.collect_list("subtree").alias("template"))
+    share = F.when(F.col("subtree") < 0, max(min_share, MAIN_SHARE)).otherwise(min_share)
+    return common.filter(F.col("pages") >= F.col("total") * share).groupBy("host").agg(F.collect_list("subtree").alias("template"))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
