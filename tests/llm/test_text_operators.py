@@ -149,6 +149,13 @@ def test_seeds_lose_no_match():
             assert label in {n["label"] for n in found}
 
 
+def test_worse_notices_before_a_better_one_are_found():
+    scanner = licenses.Scanner()
+    text = "releasd under the mit license x released under the mit license y released undr the mt license"
+    found = [(text[n["start"] : n["end"]], n["edits"]) for n in scanner.scan(text)["notices"] if n["label"] == "mit"]
+    assert [e for _, e in found] == [1, 0, 2] and [t.split()[-1] for t, _ in found] == ["license"] * 3
+
+
 # --- tokens
 
 

@@ -127,8 +127,12 @@ class Scanner:
                     zones[-1][1] = hi
                 else:
                     zones.append([lo, hi])
-            for lo, hi in zones:
-                for m in self.fuzzy[i].finditer(joined, lo, min(hi, len(joined))):
+            # The best match of a zone comes first; what stands before and after it is searched in turn.
+            while zones:
+                lo, hi = zones.pop()
+                m = self.fuzzy[i].search(joined, lo, min(hi, len(joined))) if hi - lo >= len(notice) - edits else None
+                if m:
+                    zones += [[lo, m.start()], [m.end(), hi]]
                     first, last = bisect_right(offsets, m.start()) - 1, bisect_right(offsets, max(m.start(), m.end() - 1)) - 1
                     out.add((label, starts[first], starts[last] + lengths[last], sum(m.fuzzy_counts)))
         return sorted(out, key=lambda x: (x[1], x[2], x[0], x[3]))
