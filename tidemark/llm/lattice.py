@@ -10,8 +10,8 @@ meet in a table about twice in 100,000.
 
 Equal vectors are one class, counted by multiplicity. Vectors that are null, empty or zero, or that hold null or
 non-finite components, link with nothing and are kept; so are vectors of different lengths not linked with each other.
-Rows with a null id link and count as others do, but have no component unless a copy has an id, and are not kept;
-rows that share an id are one vertex.
+Rows with a null id link only through an equal vector with an id: without one they count as copies of each other alone,
+aren't counted by near vectors and have no component; they are not kept. Rows that share an id are one vertex.
 """
 
 from __future__ import annotations

@@ -15,8 +15,8 @@ shingle hashes) inside tasks, in pairs of blocks of a bounded number of document
 components of the task leave it. Pairs within a component are known to be connected and aren't compared.
 
 Null or empty texts, and texts of white space, have the empty set: they link with nothing and are kept. Rows with a
-null id are matched as others are, but have no component unless a copy has an id, and are not kept. Rows that share
-an id are one document. Extra columns of the input are dropped from the result of `near_duplicates`.
+null id link only through an exact copy (an equal set) with an id: without one they join no others and have no
+component; they are not kept. Rows that share an id are one document. Extra columns of the input are dropped from the result of `near_duplicates`.
 """
 
 from __future__ import annotations
