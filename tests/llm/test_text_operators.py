@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import duckdb
 import pyarrow as pa
@@ -101,6 +102,38 @@ def test_random_tokens_of_each_alphabet_are_found(spark):
     assert all(found.count(k) >= 180 for k in range(4))
 
 
+def taken(df, column):
+    """(the first row's value, seconds of the action)"""
+    begun = time.perf_counter()
+    (row,) = df.select(column).collect()
+    return row[0], time.perf_counter() - begun
+
+
+def test_long_texts_and_candidates_cost_no_more_than_their_length(spark):
+    rnd = random.Random(9)
+    base64 = "".join(rnd.choice(secrets.ALPHABET[1:64].replace("x", "").replace("X", "")) for _ in range(1_000_000))
+    apart, together = (joint.join(f"token=abcdefgh{i}" for i in range(100_000)) for joint in (" ", "/"))
+    hot = "Zq8xT1vK0pLm3RnW7yBc5DfG9hJ2"
+    cut = "/".join(f"example{i}/{hot}" for i in range(10_000))
+    docs = {t: spark.createDataFrame([(1, t)], DOCS) for t in (base64, apart, together, cut)}
+    for text, spans in ((base64, 1), (apart, 100_000), (together, 1), (cut, 10_000)):
+        got, seconds = taken(secrets.find_secrets(docs[text]), F.size("spans"))
+        assert got == spans and seconds < 20, (text[:20], got, seconds)
+    for text, left in ((base64, 8), (apart, 900_000 - 1), (together, 8), (cut, None)):
+        got, seconds = taken(secrets.redact(docs[text]), "text")
+        assert hot not in got and len(got) == (left or len(got)) and seconds < 20
+    got, seconds = taken(secrets.find_secrets(docs[base64], whole=False), F.size("spans"))
+    assert got == 1 and seconds < 20
+
+
+def test_window_entropies_of_long_candidates_against_brute_force(spark):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("aB3" if rnd.random() < p else "abcdefghXYZ0123456789+/_=-") for _ in range(400)) for p in (0.5, 0.7, 0.8, 0.9, 0.95)]
+    for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect():
+        reached = [i for i in range(len(r.text) - 19) if window_entropy(r.text[i : i + 20]) >= 3.8 - 1e-6]
+        assert [(s.start, s.end) for s in r.spans] == ([(reached[0], reached[-1] + 20)] if reached else [])
+
+
 def test_redaction(spark):
     rows = [(0, "a token=abcdefgh1 b", 19, "x"), (1, None, None, "y"), (2, "clean", 5, None), (3, "é token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff é", 55, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
