@@ -207,6 +207,44 @@ def test_lattice_decoding_is_nearest():
         assert (((y - point) ** 2).sum(axis=1) <= ((y - point - v) ** 2).sum(axis=1) + 1e-9).all()
 
 
+@pytest.mark.parametrize("of", lattice.RESOLUTIONS)
+@pytest.mark.parametrize("length", [16, 64, 256, 768])
+def test_recall_at_just_the_least_cosine(of, length):
+    rnd = np.random.default_rng(length)
+    a, r = rnd.normal(size=(2, 600, length))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    r -= (r * a).sum(axis=1, keepdims=True) * a
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    hasher = lattice.Hasher(length, of)
+    (own_a, look_a), (own_b, look_b) = hasher.cells(a), hasher.cells(0.9 * a + np.sqrt(0.19) * r)
+    assert all(set(o) <= set(c) for o, c in zip(own_a.tolist(), look_a.tolist(), strict=True)) and look_a.shape == (600, hasher.tables * (of.probes + 1))
+    found = [bool(set(x) & set(v) or set(y) & set(u)) for x, u, y, v in zip(own_a.tolist(), look_a.tolist(), own_b.tolist(), look_b.tolist(), strict=True)]
+    assert np.mean(found) >= 0.98 - 0.005  # of 600
+
+
+def test_unrelated_vectors_meet_seldom_at_each_size():
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for of in lattice.RESOLUTIONS[:4]:
+        own, looked = lattice.Hasher(64, of).cells(x)
+        keys, holders = np.unique(own, return_counts=True)
+        at = np.minimum(np.searchsorted(keys, looked), len(keys) - 1)
+        met = (holders[at] * (keys[at] == looked)).sum() - own.size
+        assert met / len(x) ** 2 * of.upto < 12
+
+
+def test_pivots_are_compared_in_bounded_blocks(monkeypatch):
+    rnd = np.random.default_rng(3)
+    family = lattice._Family()
+    family.pivots = [np.unique(rnd.integers(0, 400, 30)) for _ in range(50)]
+    want = np.array([[len(set(a[a < 300]) & set(b[b < 300])) > 0 for b in family.pivots] for a in family.pivots])
+    for columns in (7, 2048):
+        monkeypatch.setattr(lattice, "_COLUMNS", columns)
+        got = family._met_before(300, 50)
+        assert (got == want)[~np.eye(50, dtype=bool)].all()
+
+
 def vectors(seed=5):
     rnd = np.random.default_rng(seed)
     centres = rnd.normal(size=(40, 64))
@@ -218,9 +256,10 @@ def vectors(seed=5):
     return rows
 
 
-@pytest.mark.parametrize("block", [1024, 24])
-def test_vectors_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, of", [(1024, 0), (24, 0), (1024, 2)])
+def test_vectors_against_brute_force(spark, monkeypatch, block, of):
     monkeypatch.setattr(lattice, "FAMILY_BLOCK", block)
+    monkeypatch.setattr(lattice, "RESOLUTIONS", lattice.RESOLUTIONS[of:])
     rows = vectors()
     rows += [(800 + i, rows[3][1]) for i in range(30)] + [(850, [2 * x for x in rows[3][1]])]
     x = np.array([v for _, v in rows])

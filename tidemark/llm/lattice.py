@@ -1,12 +1,15 @@
 """Embedding near-duplicates by lattice hashing.
 
-Each of TABLES tables projects a unit vector by random normal directions into two 8-dimensional spaces and decodes each
-projection to the nearest point of the E8 lattice; the two points are the vector's cell. A vector is filed under its
-own cell and looks into that cell and the PROBES neighbouring ones that lie nearest to its projection (the neighbours
-of an E8 point are its 240 shortest vectors). What meets in a cell and agrees in enough of 64 projection signs is a
-candidate; a pair is found if either looks into the other's cell. Every candidate is verified by its cosine in double
-precision. In simulation a pair at cosine 0.9 is found with probability 0.99, at 0.92 with 0.999, and unrelated pairs
-meet in a table about twice in 100,000.
+Each table projects a unit vector by random normal directions into two or three 8-dimensional spaces and decodes each
+projection to the nearest point of the E8 lattice; the points together are the vector's cell. A vector is filed under
+its own cell and looks into that cell and the neighbouring ones that lie nearest to its projection (the neighbours of
+an E8 point are its 240 shortest vectors). A pair is a candidate if either looks into the other's cell, and every
+candidate is verified by its cosine in double precision.
+
+The scale of the projections sets the cells' size. It follows from the number of vectors (RESOLUTIONS), so that up to
+the sizes named there a vector of 64 random components looks into fewer than ten cells of unrelated ones; beyond the
+last size that number grows with the table. The number of tables makes up for it: a pair at cosine 0.9 is found with
+probability 0.985 to 0.99 at each resolution, as the tests measure.
 
 Equal vectors are one class, counted by multiplicity. Vectors that are null, empty or zero, or that hold null or
 non-finite components, link with nothing and are kept; so are vectors of different lengths not linked with each other.
@@ -17,6 +20,7 @@ aren't counted by near vectors and have no component; they are not kept. Rows th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations, product
 
 import numpy as np
@@ -28,15 +32,37 @@ from ._store import Tables, small_batches
 from ._words import U64, mix64, odd_constants
 from .components import components
 
-TABLES, PROBES, SCALE = 12, 16, 0.6
 NEIGHBOURS = 10
 #: Vectors of a family that are compared with as many others in one task.
 FAMILY_BLOCK = 1024
 _CHUNK = 256
+_COLUMNS = 2048
 FEATURES = "vec_id long, vector array<double>, fp1 long, fp2 long, own array<long>, cells array<long>"
 FOUND = "a long, b long, n long"
 
 
+@dataclass(frozen=True)
+class Resolution:
+    upto: float  # vectors
+    lattices: int
+    scale: float
+    probes: int
+    tables: int
+
+
+RESOLUTIONS = (
+    Resolution(4_000, 2, 0.6, 16, 13),
+    Resolution(100_000, 2, 0.7, 16, 26),
+    Resolution(500_000, 3, 0.55, 24, 38),
+    Resolution(2_000_000, 3, 0.6, 32, 50),
+    Resolution(float("inf"), 3, 0.65, 32, 75),
+)
+
+
+def resolution(n: int) -> Resolution:
+    return next(r for r in RESOLUTIONS if n <= r.upto)
+
+
 def shortest_vectors() -> np.ndarray:
     """The 240 shortest vectors of E8: two coordinates of one, or all of one half with an even number of minus signs."""
     pairs = [np.eye(8)[i] * a + np.eye(8)[j] * b for i, j in combinations(range(8), 2) for a, b in product((1, -1), repeat=2)]
@@ -67,39 +93,43 @@ def decode(y: np.ndarray) -> np.ndarray:
 class Hasher:
     """Cells of unit vectors of one length."""
 
-    def __init__(self, length: int, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE):
+    def __init__(self, length: int, of: Resolution = RESOLUTIONS[0]):
         rng = np.random.default_rng([length, 8])
-        self.tables, self.probes = tables, probes
-        self.directions = rng.normal(size=(length, tables * 2 * 8)) * scale
+        self.of = of
+        # Projections of short vectors are less independent of each other.
+        self.tables = of.tables * (2 if length < 4 * 8 else 1)
+        self.directions = rng.normal(size=(length, self.tables * of.lattices * 8)) * of.scale
         self.factors = odd_constants(8, 11)
-        self.salts = mix64(np.arange(tables, dtype=U64) * U64(1 << 20) + U64(length))
+        self.salts = mix64(np.arange(self.tables, dtype=U64) * U64(1 << 20) + U64(length))
 
     def _point_hash(self, points: np.ndarray) -> np.ndarray:
         return mix64(((points * 2).astype(np.int64).astype(U64) * self.factors).sum(axis=-1, dtype=U64))
 
     def cells(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(own, looked into): keys by table, and by table and probe; the latter include the former."""
-        n, m = len(unit), NEIGHBOURS
-        y = (unit @ self.directions).reshape(n * self.tables * 2, 8)
+        n, m, of = len(unit), NEIGHBOURS, self.of
+        y = (unit @ self.directions).reshape(n * self.tables * of.lattices, 8)
         point = decode(y)
         gain = (y - point) @ SHORTEST.T
         best = np.argpartition(-gain, m, axis=1)[:, :m]
-        # The squared distance grows by |v|^2 - 2 (y - point) v; the shortest vectors have |v|^2 = 2.
-        cost = np.concatenate([np.zeros((len(y), 1)), 2 - 2 * np.take_along_axis(gain, best, axis=1)], axis=1).reshape(n, self.tables, 2, m + 1)
+        # The squared distance grows by |v|^2 - 2 (y - point) v; the shortest vectors have |v|^2 = 2. Its own point comes first.
+        cost = np.concatenate([np.full((len(y), 1), -1.0), 2 - 2 * np.take_along_axis(gain, best, axis=1)], axis=1).reshape(-1, of.lattices, m + 1)
         around = np.concatenate([point[:, None], point[:, None] + SHORTEST[best]], axis=1)
-        hashed = self._point_hash(around).reshape(n, self.tables, 2, m + 1)
-        joint = (cost[:, :, 0, :, None] + cost[:, :, 1, None, :]).reshape(n, self.tables, -1)
-        joint[:, :, 0] = -1  # its own cell comes first
-        nearest = np.argpartition(joint, self.probes, axis=2)[:, :, : self.probes + 1]
-        first = np.take_along_axis(hashed[:, :, 0], nearest // (m + 1), axis=2)
-        second = np.take_along_axis(hashed[:, :, 1], nearest % (m + 1), axis=2)
-        salts = self.salts[None, :, None]
-        looked = mix64(first * U64(3) + second * U64(7) + salts)
-        own = mix64(hashed[:, :, 0, :1] * U64(3) + hashed[:, :, 1, :1] * U64(7) + salts)
-        return own[:, :, 0], looked.reshape(n, -1)
-
-
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = self._point_hash(around).reshape(-1, of.lattices, m + 1)
+        joint, keys, own = cost[:, 0], hashed[:, 0] * U64(3), hashed[:, 0, 0] * U64(3)
+        for i in range(1, of.lattices):
+            joint = (joint[:, :, None] + cost[:, i, None, :]).reshape(len(joint), -1)
+            keys = (mix64(keys)[:, :, None] + hashed[:, i, None, :] * U64(7)).reshape(len(joint), -1)
+            own = mix64(own) + hashed[:, i, 0] * U64(7)
+            left = of.probes if i == of.lattices - 1 else 4 * of.probes
+            if left < joint.shape[1]:
+                nearest = np.argpartition(joint, left, axis=1)[:, : left + 1]
+                joint, keys = np.take_along_axis(joint, nearest, axis=1), np.take_along_axis(keys, nearest, axis=1)
+        salts = self.salts[None, :]
+        return mix64(own.reshape(n, self.tables) + salts), mix64(keys.reshape(n, self.tables, -1) + salts[:, :, None]).reshape(n, -1)
+
+
+def _features(cells: Resolution, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashers: dict[int, Hasher] = {}
     for batch in batches:
         for at in range(0, batch.num_rows, _CHUNK):
@@ -119,7 +149,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 unit = x / big  # so that neither huge nor tiny components are lost in the squares
                 unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
                 if length not in hashers:
-                    hashers[length] = Hasher(length)
+                    hashers[length] = Hasher(length, cells)
                 own, looked = hashers[length].cells(unit)
                 bits = mix64(x.view(U64) * odd_constants(length, 12))
                 longs = lambda a: pa.array(np.ascontiguousarray(a).view(np.int64).ravel())
@@ -177,12 +207,19 @@ class _Family:
         owner = np.repeat(np.arange(n), [len(p) for p in self.pivots])
         flat = np.concatenate(self.pivots)
         owner, flat = owner[flat < pivot], flat[flat < pivot]
-        values, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+        _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
         shared = often[column] > 1
-        of = np.cumsum(often > 1) - 1
-        held = np.zeros((n, int((often > 1).sum())), np.float32)
-        held[owner[shared], of[column[shared]]] = 1
-        return held @ held.T > 0
+        owner, column = owner[shared], (np.cumsum(often > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        met = np.zeros((n, n), bool)
+        # A bounded number of pivots at a time.
+        for first in range(0, int((often > 1).sum()), _COLUMNS):
+            lo, hi = np.searchsorted(column, (first, first + _COLUMNS))
+            held = np.zeros((n, _COLUMNS), np.float32)
+            held[owner[lo:hi], column[lo:hi] - first] = 1
+            met |= held @ held.T > 0
+        return met
 
 
 def _compare_batches(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +254,8 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
     small_batches(spark)
     tables = Tables(spark, "lattice")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    features = tables.put("features", rows.mapInArrow(_features, FEATURES))
+    of = resolution(rows.filter("embedding is not null").count())
+    features = tables.put("features", rows.mapInArrow(lambda it: _features(of, it), FEATURES))
     classes = features.groupBy("fp1", "fp2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = tables.put("classes", classes)
     # One row for each distinct vector. Classes whose rows all lack an id have no vertex of their own.
