@@ -232,6 +232,37 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identify(asked, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned_however_many_and_however_long_their_texts(spark):
+    rnd = random.Random(6)
+    syllables = [a + b for a in "bcdfghjklmnprstvz" for b in "aeiouy"]
+    words = {f"l{i:03}": ["".join(rnd.choice(syllables) for _ in range(rnd.randrange(1, 4))) for _ in range(40)] for i in range(300)}
+    said = lambda k, n: " ".join(rnd.choice(words[k]) for _ in range(n))
+    rows = [(i, ("12 34. " if i % 7 else "") + said(k, 30 if i % 9 else 6000), k) for i, k in enumerate([k for k in words for _ in range(10)])]
+    rows += [(5000 + i, "\u00bd 7", "digits") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == sorted(words)
+    asked = spark.createDataFrame([(i, said(k, 40), k) for i, k in enumerate(words)], "doc_id long, text string, lang string")
+    right = langid.identify(asked.repartition(3), model).filter("lang = lang_pred").count()
+    assert right >= 290
+
+
+def test_und_is_for_texts_without_a_letter():
+    model = langid.fit(["the cat and the dog", "der Hund und die Katze"], ["en", "de"])
+    names, scores = langid.predict(model, pa.array(["\u00bd \u00b2 \u2460", "\u2167", "_ 7", "\u00aa", "x", None]))
+    assert names[:3] == ["und"] * 3 and not scores[:3].any() and "und" not in names[3:5] and names[5] == "und"
+
+
+def test_landmark_blocks_do_not_change_scores(monkeypatch):
+    import numpy as np
+
+    texts = ["the cat and the dog", "der Hund und die Katze", "le chat et le chien", "the house", "das Haus", "la maison"] * 4
+    whole = langid.predict(langid.fit(texts, ["en", "de", "fr"] * 8), pa.array(texts))
+    monkeypatch.setattr(langid, "BLOCK", 5)
+    parts = langid.predict(langid.fit(texts, ["en", "de", "fr"] * 8), pa.array(texts))
+    assert whole[0] == parts[0] and np.allclose(whole[1], parts[1], atol=1e-4)
+
+
 def test_pieces_do_not_change_presence(monkeypatch):
     import numpy as np
 

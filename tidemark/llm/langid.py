@@ -6,23 +6,25 @@ geometric mean of their numbers, over the buckets that some landmark has. Landma
 regression per language (targets 1 and -1, less what an even guess has) is solved in their Nyström feature space and folded back into one matrix, so
 that a batch is scored by two products: presence by landmarks, and kernels by languages.
 
-The model is fitted on a bounded sample: at most TRAIN_ROWS labelled texts of at most TRAIN_CHARS code points, as even
-over languages as the labels allow, chosen by a hash of the id, and at most MAX_LANGUAGES languages, the most frequent.
-Prediction reads whole texts of any length, in pieces.
+The model is fitted on a bounded sample: TRAIN_ROWS labelled texts, as even over languages as the labels allow, but of no
+language fewer than LEAST_ROWS; chosen by a hash of the id; of each, TRAIN_CHARS code points from its first letter on.
+Every language with a labelled text that has a letter is learned; landmarks grow with the languages, LEAST_LANDMARKS of
+each at least. What comes to the driver is that sample; the model, which goes to every worker, has a bit for each bucket
+and landmark. Prediction reads whole texts of any length, in pieces, with a block of landmarks unpacked at a time.
 
-Null texts and texts without a letter are `und` with score 0. Without any labelled text every text is `und`. Of equal
+Letters are those of Unicode's categories L; null texts and texts without one are `und` with score 0. Without any labelled text every text is `und`. Of equal
 scores the language first in code point order wins. Rows with a null id are never learned from and are not held out.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import small_batches
@@ -33,8 +35,10 @@ ORDERS = 4
 BITS = 20
 TRAIN_ROWS = 1600
 TRAIN_CHARS = 20_000
-LANDMARKS = 128
-MAX_LANGUAGES = 200
+LEAST_ROWS = 8
+LANDMARKS, LEAST_LANDMARKS = 128, 2
+#: Landmarks that are unpacked for products at once.
+BLOCK = 128
 RIDGE = 1e-3
 PIECE_BYTES = 1 << 19
 PIECE_DOCS = 128
@@ -45,18 +49,18 @@ _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 _FACTORS = [np.uint32(int(x) & 0xFFFFFFFF | 1) for x in mix64(np.arange(1, ORDERS + 1, dtype=U64))]
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
 class Model:
     languages: list[str]
     column: np.ndarray  # by bucket: its column in `landmarks`, or -1
-    landmarks: np.ndarray  # uint8, columns by landmarks
+    landmarks: list[np.ndarray]  # by block of landmarks: packed bits, columns by landmarks
     weights: np.ndarray  # landmarks by languages
     bias: np.ndarray  # by language: the value of a text that shares nothing with any landmark
     sizes: np.ndarray  # root of the buckets of each landmark
-    dense: np.ndarray | None = None  # `landmarks` for products, made where they are first needed
+    dense: np.ndarray | None = None  # the only block for products, made where it is first needed
 
 
 def buckets(data: np.ndarray, order: int) -> np.ndarray:
@@ -106,6 +110,7 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS) -> Mode
     languages = sorted(set(labels))
     if not languages:
         return None
+    landmarks = max(landmarks, LEAST_LANDMARKS * len(languages))
     # Landmarks in turn from each language.
     turn: dict[str, list[int]] = {k: [] for k in languages}
     for i, k in enumerate(labels):
@@ -120,10 +125,14 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS) -> Mode
     column = np.full(1 << BITS, -1, np.int32)
     column[seen] = np.arange(int(seen.sum()))
     width = max(1, int(seen.sum()))
-    marks = np.concatenate(list(presence_batches(pa.array([texts[i] for i in chosen]), column, width)))
-    sizes = np.sqrt(np.maximum(marks.sum(axis=1, dtype=np.int64), 1)).astype(np.float32)
-    model = Model(languages, column, np.ascontiguousarray(marks.T), np.zeros((len(chosen), len(languages)), np.float32), np.full(len(languages), 2 / len(languages) - 1), sizes)
-    within = kernels(model, marks).astype(np.float64)
+    of_chosen = pa.array([texts[i] for i in chosen])
+    blocks, sizes = [], []
+    for at in range(0, len(chosen), BLOCK):
+        marks = np.concatenate(list(presence_batches(of_chosen.slice(at, BLOCK), column, width)))
+        sizes.append(np.sqrt(np.maximum(marks.sum(axis=1, dtype=np.int64), 1)).astype(np.float32))
+        blocks.append(np.packbits(np.ascontiguousarray(marks.T), axis=1))
+    model = Model(languages, column, blocks, np.zeros((len(chosen), len(languages)), np.float32), np.full(len(languages), 2 / len(languages) - 1), np.concatenate(sizes))
+    within = np.concatenate([kernels(model, m) for m in presence_batches(of_chosen, column, width)]).astype(np.float64)
     values, vectors = np.linalg.eigh(within)
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
     features = np.concatenate([kernels(model, m) for m in presence_batches(pa.array(texts), column, width)]).astype(np.float64) @ root
@@ -135,9 +144,12 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS) -> Mode
 
 def kernels(model: Model, presence: np.ndarray) -> np.ndarray:
     own = np.sqrt(np.maximum(presence.sum(axis=1, dtype=np.int64), 1)).astype(np.float32)
-    if model.dense is None:
-        model.dense = model.landmarks.astype(np.float32)
-    return presence.astype(np.float32) @ model.dense / own[:, None] / model.sizes
+    there, shared, n = presence.astype(np.float32), [], len(model.sizes)
+    for i, packed in enumerate(model.landmarks):
+        if model.dense is None or len(model.landmarks) > 1:
+            model.dense = np.unpackbits(packed, axis=1, count=min(BLOCK, n - i * BLOCK)).astype(np.float32)
+        shared.append(there @ model.dense)
+    return np.concatenate(shared, axis=1) / own[:, None] / model.sizes
 
 
 def predict(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -145,7 +157,7 @@ def predict(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarra
     letters = np.array([t is not None and _LETTER.search(t) is not None for t in column.to_pylist()], bool)
     if model is None or not len(column):
         return [UNKNOWN] * len(column), np.zeros(len(column))
-    scores = np.concatenate([kernels(model, m) @ model.weights + model.bias for m in presence_batches(column, model.column, model.landmarks.shape[0])])
+    scores = np.concatenate([kernels(model, m) @ model.weights + model.bias for m in presence_batches(column, model.column, len(model.landmarks[0]))])
     best = scores.argmax(axis=1)
     value = np.where(letters, np.clip((scores.max(axis=1) + 1) / 2, 0, 1), 0).astype(np.float64)
     return [model.languages[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)], value
@@ -157,22 +169,19 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """Fits on labelled, not held-out (doc_id, text, lang) rows."""
-    labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row per language
     if not counts:
         return None
-    each = max(1, rows // len(counts))
+    each = max(LEAST_ROWS, rows // len(counts))
     u = seeded_uniform(F.col("doc_id"), "langid-1")
-    # Twice the share in expectation, as long texts fall away; the sample is cut to its bound below.
-    chance = F.element_at(F.create_map(*[x for k, n in counts for x in (F.lit(k), F.lit(min(1.0, 2.0 * each / n)))]), F.col("lang"))
-    texts = labelled.filter(u < chance).filter(F.char_length("text").between(1, TRAIN_CHARS))
-    sample = texts.select("doc_id", "text", "lang", u.alias("u")).orderBy("u", "doc_id", "text").limit(3 * rows).collect()
-    taken: dict[str, int] = {}
-    kept = []
-    for r in sample:
-        if taken.get(r.lang, 0) < each and _LETTER.search(r.text):
-            taken[r.lang] = taken.get(r.lang, 0) + 1
-            kept.append(r)
+    # Twice the share in expectation, and all of a language with little more; the window then has a bounded number of rows per language.
+    chances = docs.sparkSession.createDataFrame([(k, 1.0 if n <= 4 * each else 2.0 * each / n) for k, n in counts.items()], "lang string, chance double")
+    few = labelled.join(F.broadcast(chances), "lang").filter(u < F.col("chance"))
+    piece = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, TRAIN_CHARS)
+    first = Window.partitionBy("lang").orderBy("u", "doc_id", "text")
+    sample = few.select("lang", "doc_id", piece.alias("text"), u.alias("u")).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= each)
+    kept = sorted(sample.select("u", "doc_id", "text", "lang").collect())
     return fit([r.text for r in kept], [r.lang for r in kept])
 
 
