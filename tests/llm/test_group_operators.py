@@ -324,6 +324,31 @@ def test_chat_query_against_python(spark, tmp_path):
     assert len(got) == len({r[0] for r in rows})
 
 
+def test_chat_ties_and_empty_tables_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    from tidemark.llm import oracle
+
+    rows = [(1, 0, "assistant", t) for t in ("a!", "a", "a#", 'a"', None, "", "é", "a\n", "\\")] + [(1, 0, None, "b"), (1, 0, "", "a"), (1, None, "user", "late"), (None, 0, "user", "x"), (2, 5, "user", None)]
+    for part in (rows, []):
+        path = table(spark, tmp_path, "conversations", part, "conv_id long, turn long, role string, text string")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/conversations.parquet/*.parquet'")
+        got = queries.op3_chat_format(spark, path)
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracle.ORACLE_SQL['op3_chat_format']})").fetchall()
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_a_shifted_mask_is_read_as_it_is(spark):
+    rows = [(1, 0, "user", "question"), (1, 1, "assistant", "<|answer|>"), (1, 2, "assistant", "more")]
+    turns = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    right = chat.read_back(turns).first()
+    assert right.loss_sha256 == hashlib.sha256(b"<|answer|>more").hexdigest() and right.loss_chars == 14
+    for start, end in ((1, 0), (0, -1), (-1, -1)):
+        moved = turns.withColumn("loss_start", F.col("loss_start") + start).withColumn("loss_end", F.col("loss_end") + end)
+        assert chat.read_back(moved).first().loss_sha256 != right.loss_sha256
+
+
 def test_chat_parts(spark):
     parts = [
         {"type": "text", "text": "see <|image|> "}, {"type": "image", "ref": "s3://a.png", "width": 57, "height": 28}, {"type": "audio", "ref": "b.wav", "seconds": 1.5},

@@ -10,8 +10,11 @@ come from a text and the escape can be taken back; in roles, backslashes and new
 mask of an assistant's turn is its body.
 
 Turns stay rows: a conversation is a sorted run of them that is streamed through, with a few counters held, however
-long it is. Rows are ordered by turn, then role, then text (nulls first); rows of a null conv_id are one conversation;
-null roles and texts are empty. Extra columns are dropped.
+long it is. Rows are ordered by turn (null last), then role, then text, or else the parts as JSON, by code point; rows of
+a null conv_id are one conversation; null roles and texts are empty. Extra columns are dropped.
+
+What is read back comes from the formatted text alone: turns and roles from its control strings, the loss from what lies
+under the mask's places.
 """
 
 from __future__ import annotations
@@ -113,7 +116,12 @@ def format_turn(role: str, parts: list[dict]) -> tuple[str, int, int, list[dict]
 def parse_turn(formatted: str) -> tuple[str, str]:
     """(role, text) of a formatted turn; placeholders leave no text."""
     m = _TURN.fullmatch(formatted)
-    return unescape_role(m[1]), "".join(map(unescape, _PLACEHOLDER.split(m[2])))
+    return unescape_role(m[1]), plain(m[2])
+
+
+def plain(body: str) -> str:
+    """The text of a body or of a part of it."""
+    return "".join(map(unescape, _PLACEHOLDER.split(body)))
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +152,9 @@ def format_chat(messages: DataFrame) -> DataFrame:
     ).cast(f"array<{PART}>")
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), parts.alias("parts"))
     small_batches(messages.sparkSession)
-    by = ["conv_id", "turn", "role"]
-    placed = rows.repartition("conv_id").sortWithinPartitions(*by, F.to_json("parts"))
-    return placed.mapInArrow(_format, TURNS)
+    said = F.to_json("parts") if "parts" in messages.columns else F.col("parts")[0]["text"]
+    order = [F.col("conv_id"), F.col("turn").asc_nulls_last(), F.coalesce("role", F.lit("")), F.coalesce(said, F.lit(""))]
+    return rows.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(_format, TURNS)
 
 
 class _Digest:
@@ -154,15 +162,17 @@ class _Digest:
         self.conv_id, self.turns, self.loss_chars, self.chars, self.tokens = conv_id, 0, 0, 0, 0
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, formatted: str, masked: bool, tokens: int) -> None:
+    def add(self, formatted: str, mask: tuple[int, int] | None, tokens: int) -> None:
+        """`mask`: places in `formatted`."""
         role, text = parse_turn(formatted)
         self.turns += 1
         self.chars += len(formatted)
         self.tokens += tokens
         self.all.update(f"{role}\n{text}\n".encode())
-        if masked:
-            self.loss_chars += len(text)
-            self.loss.update(text.encode())
+        if mask is not None:
+            learned = plain(formatted[slice(*mask)])
+            self.loss_chars += len(learned)
+            self.loss.update(learned.encode())
 
     def row(self) -> dict:
         return {
@@ -180,13 +190,13 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now: _Digest | None = None
     for batch in batches:
         done = []
-        names = ("conv_id", "formatted", "loss_start", "attachment_tokens")
-        for conv_id, formatted, loss, tokens in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+        names = ("conv_id", "formatted", "start", "loss_start", "loss_end", "attachment_tokens")
+        for conv_id, formatted, at, begin, end, tokens in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
             if now is None or conv_id != now.conv_id:
                 if now is not None:
                     done.append(now.row())
                 now = _Digest(conv_id)
-            now.add(formatted, loss is not None, tokens)
+            now.add(formatted, None if begin is None else (max(0, begin - at), max(0, end - at)), tokens)
         yield pa.RecordBatch.from_pylist(done, _DIGEST_SCHEMA)
     if now is not None:
         yield pa.RecordBatch.from_pylist([now.row()], _DIGEST_SCHEMA)
