@@ -3,7 +3,9 @@
 Each notice, as normal words joined by single blanks, is split into one piece more than the edits it may have: by
 pigeonhole, any stretch of text within that many edits holds some piece unchanged. An Aho-Corasick automaton over all
 pieces finds these seeds in one pass; around each the `regex` library's bounded-error matching verifies the notice and
-reports its span and edits. The fixed phrases of the base are found as runs of whole words.
+reports its span and edits. Words that tell one license from another (TELLING) have to stand in the match whole, or with
+one edit at most if they are long; words of another meaning at that distance (OTHER_WORDS) don't count as them. The fixed
+phrases of the base are found as runs of whole words.
 
 Texts are lower-cased in A-Z; words are runs of 0-9, a-z and characters from U+0080. Null and empty texts have no
 words. Texts are read whole. Repeated rows give repeated results; extra columns pass through, those of the result's
@@ -45,6 +47,12 @@ NOTICES = (
     ("spdx", "spdx license identifier", 2, 0.7),
     ("reserved", "all rights reserved", 1, 0.5),
 )
+#: By label: the words that a match of each of its notices has to hold if the notice has them, and the edits each may have.
+TELLING = {
+    "apache-2.0": (("apache", 1), ("2", 0)), "mit": (("mit", 1),), "mpl-2.0": (("mozilla", 1),), "cc-by-nc": (("cc", 0), ("nc", 0)), "cc-by-sa": (("cc", 0), ("sa", 0)),
+    "cc-by": (("commons", 1),), "cc0": (("cc0", 0),), "spdx": (("spdx", 0),), "reserved": (("reserved", 1),), "gpl": (("gnu", 0), ("general", 1), ("free", 1)),
+}
+OTHER_WORDS = frozenset("bit fit hit it kit mix sit preserved deserved observed reversed resolved".split())
 BASE_WEIGHTS = {"cc-by": 0.6, "gpl": 0.6, "reserved": 0.5}
 _LOWER = {i: i + 32 for i in range(65, 91)}
 #: By byte: A-Z to a-z, what is in no word to a blank.
@@ -65,6 +73,22 @@ _RESULT_TYPE = pa.struct(
 )
 
 
+def within(word: str, other: str, edits: int) -> bool:
+    """Whether `other` is `word` but for that many edits, 0 or 1, and isn't another word."""
+    if word == other:
+        return True
+    if not edits or abs(len(word) - len(other)) > 1 or other in OTHER_WORDS:
+        return False
+    same = 0
+    while same < min(len(word), len(other)) and word[same] == other[same]:
+        same += 1
+    return word[same + (len(word) >= len(other)) :] == other[same + (len(other) >= len(word)) :]
+
+
+def telling(label: str, notice: str) -> tuple[tuple[str, int], ...]:
+    return tuple((w, e) for w, e in TELLING.get(label, ()) if w in notice.split())
+
+
 def pieces(notice: str, edits: int) -> list[tuple[int, str]]:
     """(start, piece): the notice in edits + 1 pieces of about equal length."""
     n = edits + 1
@@ -85,6 +109,7 @@ class Scanner:
         self.seeds.make_automaton()
         self.weights = {label: max(w for k, _, _, w in notices if k == label) for label, *_ in notices}
         self.fuzzy = [regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}") for _, notice, edits, _ in notices]
+        self.telling = [telling(label, notice) for label, notice, *_ in notices]
         self.phrases = [(label, f" {phrase} ") for phrase, label in phrases]
 
     def places(self, padded: str) -> list[tuple[str, int]]:
@@ -134,7 +159,9 @@ class Scanner:
                 if m:
                     zones += [[lo, m.start()], [m.end(), hi]]
                     first, last = bisect_right(offsets, m.start()) - 1, bisect_right(offsets, max(m.start(), m.end() - 1)) - 1
-                    out.add((label, starts[first], starts[last] + lengths[last], sum(m.fuzzy_counts)))
+                    held = joined[offsets[first] : offsets[last] + lengths[last]].split(" ")
+                    if all(any(within(w, x, e) for x in held) for w, e in self.telling[i]):
+                        out.add((label, starts[first], starts[last] + lengths[last], sum(m.fuzzy_counts)))
         return sorted(out, key=lambda x: (x[1], x[2], x[0], x[3]))
 
     def scan(self, text: str | None) -> dict:
