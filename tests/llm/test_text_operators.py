@@ -363,7 +363,7 @@ def test_leaks_against_brute_force(spark):
 
 
 def test_leaks_over_several_blocks_and_empty_tables(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 4)
+    monkeypatch.setattr(decontam, "BLOCK_SHINGLES", 30)
     items = spark.createDataFrame([(i, " ".join(f"a{i}b{j}" for j in range(12))) for i in range(10)], "item_id long, text string")
     docs = spark.createDataFrame([(i, f"x {' '.join(f'a{i}b{j}' for j in range(12))} y", 7) for i in range(12)], "doc_id long, text string, leaks int")
     found = decontam.find_leaks(docs, items)
@@ -372,18 +372,43 @@ def test_leaks_over_several_blocks_and_empty_tables(spark, monkeypatch):
     assert decontam.find_leaks(docs.limit(0), items).count() == 0
 
 
+def random_items(n, rnd, words=30):
+    texts = [" ".join(rnd.choice("abcdefghij") + str(rnd.randrange(99999)) for _ in range(words + i % 5)) for i in range(n)]
+    return [([i], *rest) for i, *rest in decontam.item_features(pa.array(texts))], texts
+
+
 def test_multi_index_finds_every_print_within_the_radius():
-    rnd = random.Random(4)
-    items = [(i, " ".join(rnd.choice("abcdefghij") + str(rnd.randrange(99)) for _ in range(30))) for i in range(40)]
-    index = decontam.build_index(items)
     import numpy as np
 
+    rnd = random.Random(4)
+    index = decontam.build_index(random_items(40, rnd)[0])
     for i, own in enumerate(index.prints):
         for _ in range(5):
             bits = np.unpackbits(own.view(np.uint8))
             bits[rnd.sample(range(128), decontam.RADIUS)] ^= 1
-            near = np.packbits(bits).view(np.uint16)
-            assert any(i in index.near(b, int(near[b])) for b in range(decontam.BLOCKS))
+            window, item, distance = index.near(np.packbits(bits).view(np.uint16)[None], int(index.words[i]))
+            assert decontam.RADIUS in distance[(window == 0) & (item == i)].tolist()
+
+
+def test_many_items_and_the_recall_at_the_bound():
+    """100,000 items in one index; windows with edits that leave a similarity of just over the bound."""
+    import resource
+
+    rnd = random.Random(10)
+    items, texts = random_items(100_000, rnd, 40)
+    index = decontam.build_index(items)
+    docs, held = [], []
+    for n in range(150):
+        i = rnd.randrange(len(texts))
+        words = texts[i].split()
+        words[1 if n % 2 else 2] = "changed"  # two or three of its shingles
+        docs.append(" ".join([f"x{rnd.getrandbits(40)}" for _ in range(60)] + words + [f"y{rnd.getrandbits(40)}" for _ in range(60)]))
+        held.append((i, len(words)))
+    found = decontam.match_texts(index, pa.array(docs + ["no item here " * 50]))
+    got = [any(m["item_id"] == i and m["start"] == 60 for m in f) for f, (i, _) in zip(found, held, strict=False)]
+    assert sum(got) >= 0.98 * len(got) and not found[-1] and all(len(f) <= 1 for f in found)
+    size = sum(getattr(index, n).nbytes for n in ("prints", "bags", "hashes", "runs", "seen", "block_starts", "members", "starts"))
+    assert size < 150e6 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 3e6
 
 
 @pytest.mark.parametrize("name", ["op1_secret_scan", "op4_license_scan", "op5_token_count", "op9_language_id", "op2_source_mix", "op6_minhash_dedup"])
