@@ -165,9 +165,10 @@ def near_corpus():
     return rows
 
 
-@pytest.mark.parametrize("k, block", [(4, 1024), (5, 16)])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, k, block):
+@pytest.mark.parametrize("k, block, held", [(4, 1024, 1_000_000), (5, 16, 1_000_000), (4, 1024, 1500)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, k, block, held):
     monkeypatch.setattr(minhash, "FAMILY_BLOCK", block)
+    monkeypatch.setattr(minhash, "FAMILY_SHINGLES", held)
     rows = near_corpus()
     sets, component = brute_near(rows, k, 80)
     docs = spark.createDataFrame(rows, DOCS).withColumn("keys", F.lit("clash")).repartition(5)

@@ -11,8 +11,10 @@ Documents with equal sets are one vertex. Candidates come in two rounds, so that
 expanded into all its pairs. First each key's least document, its pivot, is confirmed against the others of the key,
 and the links found are joined into components. Then each pivot with the documents of its keys is a family, which
 holds every pair that shares one of those keys: families still in several components are compared on full sets (64-bit
-shingle hashes) inside tasks, in pairs of blocks of a bounded number of documents, and only links that join two
-components of the task leave it. Pairs within a component are known to be connected and aren't compared.
+shingle hashes) inside tasks, in pairs of blocks of a bounded number of documents and of shingles, and only links that
+join two components of the task leave it. Pairs within a component are known to be connected: a family's greatest component
+has blocks of its own, which meet the blocks of the others but not each other. So a document of it is sent once for each
+block of the others, of which there is mostly one.
 
 Null or empty texts, and texts of white space, have the empty set: they link with nothing and are kept. Rows with a
 null id link only through an exact copy (an equal set) with an id: without one they join no others and have no
@@ -34,8 +36,8 @@ from .components import components
 
 CHUNKS, WIDTH, ERRORS = 9, 5, 1
 SYMBOLS = CHUNKS * WIDTH
-#: Documents of a family that are compared with as many others in one task.
-FAMILY_BLOCK = 1024
+#: Documents of a family, and shingles of theirs, that are compared with as many others in one task; a longer text is taken whole.
+FAMILY_BLOCK, FAMILY_SHINGLES = 1024, 1_000_000
 #: Ids that are broadcast to pick the texts whose sets are needed; beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
 FEATURES = "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>"
@@ -189,17 +191,24 @@ def _family_links(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         yield pack(found)
 
 
-def _family_rows(first: DataFrame, joined: DataFrame, tables: Tables) -> DataFrame:
+def _family_rows(first: DataFrame, joined: DataFrame, sizes: DataFrame, tables: Tables) -> DataFrame:
     """(pivot, one, other, block, id, component) of families of three documents or more in several components.
 
     Members and family sizes are tables, so that the join of the two can be split where a family is large.
     """
     members = first.select(F.col("a").alias("pivot"), F.col("b").alias("id")).unionByName(first.select(F.col("a").alias("pivot"), F.col("a").alias("id")).distinct())
-    labelled = tables.put("members", members.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    families = labelled.groupBy("pivot").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    families = families.filter("n > 2 and lo < hi").select("pivot", F.ceil(F.col("n") / FAMILY_BLOCK).cast("long").alias("blocks"))
-    rows = labelled.join(tables.put("family_sizes", families), "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    labelled = members.join(sizes, "id").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = tables.put("members", labelled)
+    parts = labelled.groupBy("pivot", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    families = parts.groupBy("pivot").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("parts"), F.max(F.struct("n", "s", "component")).alias("most"))
+    blocks = lambda n, s: F.ceil(F.greatest(n / FAMILY_BLOCK, s / FAMILY_SHINGLES)).cast("long")
+    families = families.filter("n > 2 and parts > 1").select(
+        "pivot", F.col("most.component").alias("main"), blocks(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("others"), blocks(F.col("most.n"), F.col("most.s")).alias("mains")
+    )
+    rows = labelled.join(tables.put("family_sizes", families), "pivot")
+    own, zero = F.col("component") == F.col("main"), F.lit(0).cast("long")
+    rows = rows.withColumn("block", F.when(own, F.col("others") + F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("id"), F.col("others"))))
+    rows = rows.withColumn("with", F.explode(F.sequence(zero, F.when(own, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
     return rows.select("pivot", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "block", "id", "component")
 
 
@@ -227,7 +236,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     ids = tables.put("ids", first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     sets = tables.put("sets", _sets(docs, ids, k))
     links = tables.put("links", _confirm(first, sets, percent))
-    families = tables.put("families", _family_rows(first, components(links, "minhash-cc1"), tables))
+    sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n_shingles").alias("n_shingles"))
+    families = tables.put("families", _family_rows(first, components(links, "minhash-cc1"), sizes, tables))
     by = ["pivot", "one", "other"]
     full = families.join(sets.withColumnRenamed("doc_id", "id"), "id").select(*by, "block", "id", "component", "shingles")
     more = full.repartition(*by).sortWithinPartitions(*by).mapInArrow(lambda it: _family_links(percent, it), "a long, b long")
