@@ -9,8 +9,16 @@ from ..schema import lateness_us, micros
 
 #: Fixed value: the stream's watermark in seconds unless another is asked for.
 DEFAULT_WATERMARK_S = 45.0
-#: Arrival time per bucket of the running maximum.
+#: Time per bucket of the running maximum; ticks from which on a bucket is split; and into how many parts at most.
 BUCKET_S = 3600.0
+BUCKET_TICKS, BUCKET_PARTS = 200_000, 256
+#: A bucket is split between slices of time.
+SLICE_US = 1_000_000
+
+
+def as_delivered(ticks: DataFrame) -> DataFrame:
+    """Every delivery as a tick of its own, for feeds that repeat none or whose redeliveries should count."""
+    return ticks
 
 
 def deduplicate(ticks: DataFrame) -> DataFrame:
@@ -25,19 +33,38 @@ def redelivered(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("symbol", "seq").agg(F.count("*").alias("deliveries")).filter("deliveries > 1")
 
 
-def with_previous_max(unique: DataFrame, bucket_s: float = BUCKET_S, keys: tuple[str, ...] = ()) -> DataFrame:
-    """`prev_max_us`: the greatest event time among ticks that arrived before, over all symbols; null for the first.
+def in_buckets(ticks: DataFrame, time: str, keys: tuple[str, ...] = (), bucket_s: float = BUCKET_S) -> DataFrame:
+    """`ticks` with `_bucket`, numbers that grow with `time` (per key).
 
-    Arrivals fall into buckets of time. A bucket's ticks are ordered in one task; what came before the bucket is a
-    maximum over buckets, of which there are as many as the feed has hours, so that table is small.
+    A bucket is a fixed stretch of time; where it holds more than BUCKET_TICKS ticks, it is cut into parts of about as
+    many ticks each, by counts per second. Only a single second is never split. The table of cuts has a row per stretch.
     """
     width = micros(bucket_s)
-    named = unique.withColumn("_bucket", F.floor(F.col("arrival_us") / F.lit(width)).cast("long"))
+    stretch = F.floor(F.col(time) / F.lit(width)).cast("long").alias("_stretch")
+    counts = ticks.groupBy(*keys, stretch, F.floor(F.col(time) / SLICE_US).cast("long").alias("_slice")).agg(F.count("*").alias("_n"))
+    inside = Window.partitionBy(*keys, "_stretch")
+    before = F.coalesce(F.sum("_n").over(inside.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    size = F.greatest(F.lit(BUCKET_TICKS).cast("double"), F.sum("_n").over(inside) / BUCKET_PARTS)
+    begins = counts.withColumn("_part", F.floor(before / size)).groupBy(*keys, "_stretch", "_part").agg(F.min("_slice").alias("_begin"))
+    cuts = begins.filter("_part > 0").groupBy(*keys, "_stretch").agg(F.collect_list("_begin").alias("_cuts"))
+    named = ticks.select("*", stretch).join(cuts, [*keys, "_stretch"], "left")
+    part = F.size(F.filter("_cuts", lambda c: c <= F.floor(F.col(time) / SLICE_US)))
+    bucket = F.col("_stretch") * 2 * BUCKET_PARTS + F.when(F.col("_cuts").isNull(), 0).otherwise(part)
+    return named.withColumn("_bucket", bucket).drop("_stretch", "_cuts").select(*ticks.columns, "_bucket")
+
+
+def with_previous_max(unique: DataFrame, bucket_s: float = BUCKET_S, keys: tuple[str, ...] = (), name: str = "prev_max_us") -> DataFrame:
+    """`name`: the greatest event time among ticks that arrived before, over all symbols or per key; null for the first.
+
+    Arrivals fall into buckets of a bounded number of ticks. A bucket's ticks are ordered in one task; what came before
+    the bucket is a maximum over buckets, of which there are few.
+    """
+    named = in_buckets(unique, "arrival_us", keys, bucket_s)
     order = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     heads = named.groupBy(*keys, "_bucket").agg(F.max("event_us").alias("_most")).withColumn("_before", F.max("_most").over(order)).drop("_most")
     inside = Window.partitionBy(*keys, "_bucket").orderBy("arrival_us", "seq", "symbol").rowsBetween(Window.unboundedPreceding, -1)
     ran = named.withColumn("_within", F.max("event_us").over(inside)).join(heads, [*keys, "_bucket"])
-    return ran.withColumn("prev_max_us", F.greatest("_before", "_within")).drop("_bucket", "_before", "_within")
+    return ran.withColumn(name, F.greatest("_before", "_within")).drop("_bucket", "_before", "_within")
 
 
 def is_late(watermark_us: Column | int) -> Column:
@@ -57,9 +84,9 @@ def verdicts(ticks: DataFrame, watermark_s: float = DEFAULT_WATERMARK_S) -> Data
     numbered = ticks.withColumn("_nth", F.row_number().over(nth))
     first = with_previous_max(numbered.filter("_nth = 1").drop("_nth")).withColumn("verdict", F.when(is_late(micros(watermark_s)), "late").otherwise("accepted"))
     again = numbered.filter("_nth > 1").drop("_nth").withColumn("prev_max_us", F.lit(None).cast("long")).withColumn("verdict", F.lit("duplicate"))
-    newest = Window.partitionBy("symbol", "verdict").orderBy("arrival_us", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    behind = (F.col("verdict") == "accepted") & F.coalesce(F.col("event_us") < F.max("event_us").over(newest), F.lit(False))
-    return first.unionByName(again).withColumn("out_of_order", behind)
+    accepted = with_previous_max(first.filter("verdict = 'accepted'"), keys=("symbol",), name="_newest")
+    placed = accepted.withColumn("out_of_order", F.coalesce(F.col("event_us") < F.col("_newest"), F.lit(False))).drop("_newest")
+    return placed.unionByName(first.filter("verdict = 'late'").unionByName(again).withColumn("out_of_order", F.lit(False)))
 
 
 def stream_stats(ticks: DataFrame, watermark_s: float = DEFAULT_WATERMARK_S) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import Run
 from ..schema import micros
-from .admission import is_late, with_previous_max
+from .admission import is_late
 
 #: The watermarks of a sweep in seconds, those a boundary search starts from, the tolerances.
 SWEEP = (0.0, 5.0, 15.0, 30.0, 45.0, 60.0, 120.0)
@@ -96,12 +96,14 @@ def _by_watermark(run: Run, other: DataFrame, watermarks: list[float], tolerance
 
 def drops_by_watermark(run: Run, watermarks: list[float]) -> DataFrame:
     listed = F.explode(F.array(*(F.lit(micros(w)).cast("long") for w in watermarks)))
-    each = with_previous_max(run.unique).withColumn("watermark_us", listed)
+    each = run.ran.withColumn("watermark_us", listed)
     return each.groupBy("watermark_us").agg(F.count_if(is_late(F.col("watermark_us"))).alias("dropped"))
 
 
 def watermark_sweep(run: Run, watermarks: tuple[float, ...] = SWEEP, tolerance: float = SKEW_TOLERANCE) -> DataFrame:
-    """A row per watermark: what it drops, how far streaming and naive disagree, and the latency it costs. One plan."""
+    """A row per watermark: what it drops, how far streaming and naive disagree, and the latency it costs. One plan
+    over the run's running maximum, which is written once."""
+    run.settle()
     seen = run.ticks.agg(F.count("*").alias("seen"))
     per = _by_watermark(run, run.naive(), list(watermarks), tolerance).groupBy("watermark_us").agg(
         F.count_if(F.col("disagreements") > 0).alias("bad"), F.max("rate").alias("worst")
@@ -119,6 +121,7 @@ def watermark_sweep(run: Run, watermarks: tuple[float, ...] = SWEEP, tolerance:
 
 def boundary(run: Run, watermarks: list[float]) -> DataFrame:
     """A row per watermark: drops, and whether streaming and replay agree exactly on at least one row."""
+    run.settle()
     per = _by_watermark(run, run.replay(), watermarks, EXACT_TOLERANCE).groupBy("watermark_us").agg(
         F.sum("disagreements").alias("disagreements"), F.max("compared").alias("rows_compared")
     )

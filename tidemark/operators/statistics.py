@@ -6,17 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import lateness_us
-from .admission import deduplicate
+from .admission import BUCKET_S, deduplicate, in_buckets
 
 
-def inversions(ticks: DataFrame, time: str = "event_us", keys: tuple[str, ...] = (), order: tuple[str, ...] = ("arrival_us", "seq", "symbol"), bucket_s: float = 3600.0) -> DataFrame:
+def inversions(ticks: DataFrame, time: str = "event_us", keys: tuple[str, ...] = (), order: tuple[str, ...] = ("arrival_us", "seq", "symbol"), bucket_s: float = BUCKET_S) -> DataFrame:
     """Rows whose `time` is before that of the row next before them in `order`, over all rows or per key.
 
-    Rows fall into buckets of the first order column; each bucket is ordered in a task of its own, and its first row is
-    compared with the last row of the nearest bucket before it.
+    Rows fall into buckets of a bounded number of rows by the first order column; each bucket is ordered in a task of its
+    own, and its first row is compared with the last row of the bucket before it.
     """
-    width = int(bucket_s * 1e6)
-    named = ticks.withColumn("_bucket", F.floor(F.col(order[0]) / F.lit(width)).cast("long"))
+    named = in_buckets(ticks, order[0], keys, bucket_s)
     place = F.struct(*order)
     tails = named.groupBy(*keys, "_bucket").agg(F.max_by(time, place).alias("_tail"))
     tails = tails.withColumn("_tail", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_bucket")))

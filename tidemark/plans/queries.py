@@ -52,9 +52,12 @@ def dedup_first_wins(spark, sf_dir):
 
 
 def event_order(spark, sf_dir):
-    """The place of each deduplicated tick of a symbol by event time, then seq."""
-    unique = admission.deduplicate(events_feed(spark, sf_dir))
-    return unique.select("symbol", "seq", "event_us", F.row_number().over(Window.partitionBy("symbol").orderBy("event_us", "seq")).cast("long").alias("place"))
+    """The place of each deduplicated tick of a symbol by event time, then seq: that in its bucket, and the ticks of buckets before."""
+    named = admission.in_buckets(admission.deduplicate(events_feed(spark, sf_dir)), "event_us", ("symbol",))
+    earlier = Window.partitionBy("symbol").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    heads = named.groupBy("symbol", "_bucket").agg(F.count("*").alias("_n")).select("symbol", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("symbol", "_bucket").orderBy("event_us", "seq"))
+    return named.withColumn("_within", inside).join(heads, ["symbol", "_bucket"]).select("symbol", "seq", "event_us", (F.col("_before") + F.col("_within")).cast("long").alias("place"))
 
 
 def distinct_symbols(spark, sf_dir):
@@ -139,10 +142,14 @@ def window_shifted_hopping(spark, sf_dir):
 
 
 def range_frame_left_open(spark, sf_dir):
-    """Per tick, the ticks of its symbol in the two hours up to it, the left edge left out."""
-    unique = admission.deduplicate(events_feed(spark, sf_dir))
-    frame = Window.partitionBy("symbol").orderBy("event_us").rangeBetween(1 - micros(FRAME_S), 0)
-    return unique.select("symbol", "seq", F.count("*").over(frame).alias("ticks"), F.sum("ltq").over(frame).alias("ltq_sum"))
+    """Per tick, the ticks of its symbol in the two hours up to it, the left edge left out. Frames stay within stretches of time as long as
+    they are; each tick is also seen by the next stretch."""
+    unique = admission.deduplicate(events_feed(spark, sf_dir)).select("symbol", "seq", "event_us", "ltq")
+    stretch = F.floor(F.col("event_us") / micros(FRAME_S)).cast("long")
+    seen = unique.select("*", F.posexplode(F.array(stretch, stretch + 1)).alias("_copy", "_stretch"))
+    frame = Window.partitionBy("symbol", "_stretch").orderBy("event_us").rangeBetween(1 - micros(FRAME_S), 0)
+    framed = seen.select("symbol", "seq", "_copy", F.count("*").over(frame).alias("ticks"), F.sum("ltq").over(frame).alias("ltq_sum"))
+    return framed.filter("_copy = 0").drop("_copy")
 
 
 def boundary_edges(spark, sf_dir):
@@ -230,8 +237,8 @@ def symbols_per_partition(spark, sf_dir):
 def transport_reorder(spark, sf_dir):
     """Symbols whose records the transport returned out of arrival order: none, as a key keeps to one partition."""
     received = transport.round_trip(events_feed(spark, sf_dir), transport.Folder(shared_folder(spark, "folder")))
-    before = F.lag("arrival_us").over(Window.partitionBy("symbol", "partition").orderBy("offset"))
-    return received.withColumn("_before", before).groupBy("symbol").agg(F.count_if(F.col("arrival_us") < F.col("_before")).alias("reordered"))
+    turned = statistics.inversions(received, "arrival_us", ("symbol", "partition"), ("offset",)).groupBy("symbol").agg(F.count("*").alias("_n"))
+    return received.select("symbol").distinct().join(turned, "symbol", "left").select("symbol", F.coalesce("_n", F.lit(0)).alias("reordered"))
 
 
 def tick_json_roundtrip(spark, sf_dir):

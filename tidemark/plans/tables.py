@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import FeatureSet, standard_features
-from ..operators.admission import DEFAULT_WATERMARK_S, admit, deduplicate, is_late, with_previous_max
+from ..operators.admission import DEFAULT_WATERMARK_S, admit, as_delivered, deduplicate, is_late, with_previous_max
 from ..operators.grid import Grid, Span
 from ..operators.pit import feature_table
 from ..schema import micros
+from ..session import shared_folder
 
 
 @dataclass
@@ -28,15 +29,30 @@ class Run:
     grid: Grid = field(default_factory=Grid)
     features: FeatureSet = field(default_factory=standard_features)
     panes: bool | None = None
+    #: Whether a (symbol, seq) counts once; else every delivery does.
+    deduplicated: bool = True
 
     def __post_init__(self):
-        self.unique = deduplicate(self.ticks)
+        self.unique = deduplicate(self.ticks) if self.deduplicated else as_delivered(self.ticks)
 
     @cached_property
     def span(self) -> Span:
         """Read once for all tables of the run."""
         return self.grid.span(self.unique)
 
+    @cached_property
+    def ran(self) -> DataFrame:
+        """Deduplicated ticks with their running maximum."""
+        return with_previous_max(self.unique)
+
+    def settle(self) -> Run:
+        """Writes `ran` once, for what reads it more than once."""
+        path = shared_folder(self.ticks.sparkSession, "ran")
+        self.ran.write.parquet(path)
+        self.ran = self.ticks.sparkSession.read.schema(self.ran.schema).parquet(path)
+        self.unique = self.ran.drop("prev_max_us")
+        return self
+
     @property
     def cells(self) -> DataFrame:
         return self.grid.of_symbols(self.ticks, self.span)
@@ -64,7 +80,7 @@ class Run:
     def streaming_by_watermark(self, watermarks: list[float]) -> DataFrame:
         """The streaming tables of several watermarks in one plan, with `watermark_us`."""
         listed = F.explode(F.array(*(F.lit(micros(w)).cast("long") for w in watermarks)))
-        ticks = with_previous_max(self.unique).withColumn("watermark_us", listed).filter(~is_late(F.col("watermark_us"))).drop("prev_max_us")
+        ticks = self.ran.withColumn("watermark_us", listed).filter(~is_late(F.col("watermark_us"))).drop("prev_max_us")
         keys = ("watermark_us", "symbol")
         table = feature_table(ticks, self.cells.withColumn("watermark_us", listed), self.span, self.features, self.grid, True, keys, self.panes)
         begun = ticks.groupBy(*keys).agg(F.min("arrival_us").alias("_begun"))
