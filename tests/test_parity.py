@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import cli
 from tidemark.functions.features import standard_features
-from tidemark.operators import admission, parity, statistics
+from tidemark.operators import admission, parity, records, statistics
 from tidemark.operators.grid import Grid
 from tidemark.plans.tables import Run
 from tidemark.schema import TICK, TICK_COLUMNS, lateness_us
@@ -239,6 +239,52 @@ def test_a_batch_that_runs_again_changes_nothing(noisy, spark):
     assert rows(admitted) == rows(Run(ticks, 45.0).admitted().select(*TICK_COLUMNS))
 
 
+def test_state_is_bounded_and_retention_lets_go_of_what_no_window_needs(noisy, spark):
+    ticks, _ = noisy
+    keep = engine.default_retention_s(standard_features(), 45.0)
+    assert keep > 1200 + 45
+    folder = shared_folder(spark, "retained")
+    left = engine.admit_stream(ticks, folder, 45.0, 12, retain_s=keep)
+    admitted = Run(ticks, 45.0).admitted()
+    now = ticks.agg(F.max("event_us")).first()[0]
+    assert rows(left) == rows(admitted.filter(F.col("event_us") > now - keep * 1e6).select(*TICK_COLUMNS))
+    assert len(engine._written(spark, f"{folder}/admitted")) < 12
+    for name in ("keys", "state"):
+        assert len(engine._written(spark, f"{folder}/{name}")) == 2
+    last = engine._written(spark, f"{folder}/keys")[-1]
+    keys = spark.read.parquet(f"{folder}/keys/batch={last}")
+    assert keys.count() < 100 and keys.filter(F.col("event_us") <= now - 45_000_000).count() == 0
+
+
+def test_deduplication_can_be_switched_off(noisy, spark):
+    ticks, _ = noisy
+    off = Run(ticks, 1000.0, Grid(60.0), deduplicated=False)
+    assert off.unique.count() == ticks.count() > Run(ticks).unique.count()
+    streamed = engine.admit_stream(ticks, shared_folder(spark, "off"), 1000.0, deduplicated=False)
+    assert rows(streamed) == rows(off.admitted().select(*TICK_COLUMNS))
+    assert records.agrees(off, "naive") and records.agrees(off, "streaming")
+
+
+def test_the_record_engine_tells_a_difference(noisy, monkeypatch):
+    ticks, _ = noisy
+    run = Run(ticks, 45.0, Grid(60.0))
+    assert records.agrees(run, "replay")
+    monkeypatch.setattr(Run, "replay", Run.naive)
+    assert not records.agrees(run, "replay")
+
+
+def test_one_symbol_and_one_hour_are_split(spark, monkeypatch):
+    """Nearly all ticks are of one symbol and arrive in one hour; buckets stay bounded, and nothing changes."""
+    monkeypatch.setattr(admission, "BUCKET_TICKS", 200)
+    ticks = generate(spark, ["IDEA"], 50, NOISY, 4).unionByName(generate(spark, ["PNB"], 3, NOISY, 4))
+    unique = admission.deduplicate(ticks).persist()
+    held = {keys: admission.in_buckets(unique, "arrival_us", keys).groupBy(*keys, "_bucket").count().agg(F.max("count"), F.count("*")).first() for keys in ((), ("symbol",))}
+    assert all(most < 230 and n >= unique.count() // 230 for most, n in held.values())
+    split = {k: rows(f()) for k, f in (("verdicts", lambda: admission.verdicts(ticks, 20.0)), ("turned", lambda: statistics.inversions(unique)))}
+    monkeypatch.setattr(admission, "BUCKET_TICKS", 10**9)
+    assert split == {"verdicts": rows(admission.verdicts(ticks, 20.0)), "turned": rows(statistics.inversions(unique))}
+
+
 def test_native_stream_drops_no_more_than_the_exact_one(noisy, spark):
     ticks, _ = noisy
     passed = engine.native_counts(ticks, shared_folder(spark, "native"), 45.0).first().ticks
@@ -246,10 +292,113 @@ def test_native_stream_drops_no_more_than_the_exact_one(noisy, spark):
     assert stats.accepted <= passed <= stats.seen
 
 
+class Stub:
+    """An admin client that knows of a topic's leaders after some calls."""
+
+    def __init__(self, topics, leaders_after, fails=None):
+        self.topics, self.left, self.fails, self.made = dict.fromkeys(topics, self), leaders_after, fails, []
+
+    def __getattr__(self, name):
+        return lambda *a: self
+
+    def get(self, *a):
+        return self if a else self.topics
+
+    def createTopics(self, topics):  # noqa: N802
+        if self.fails:
+            raise RuntimeError(self.fails)
+        self.made += topics
+        return self
+
+    def describeTopics(self, topics):  # noqa: N802
+        self.topics = {t: self for t in topics}
+        self.left -= 1
+        if self.left > 1:
+            raise RuntimeError("UnknownTopicOrPartitionException")
+        return self
+
+    def partitions(self):
+        return [self, self]
+
+    def leader(self):
+        return None if self.left > 0 else self
+
+    def isEmpty(self):  # noqa: N802
+        return False
+
+
+def test_a_topic_is_made_once_and_waited_for():
+    ensure = lambda admin, wait=5.0: transport.ensure_topic(admin, "ticks", lambda: "ticks", lambda x: [x], wait, 0.01)
+    new = Stub([], 3)
+    assert ensure(new) and new.made == ["ticks"] and new.left <= 0
+    old = Stub(["ticks"], 1)
+    assert not ensure(old) and not old.made
+    assert not ensure(Stub([], 1, "TopicExistsException"))
+    with pytest.raises(RuntimeError, match="denied"):
+        ensure(Stub([], 1, "denied"))
+    with pytest.raises(TimeoutError):
+        ensure(Stub([], 10**9), 0.05)
+
+
+def test_kafka_options_reach_reader_and_writer(spark, monkeypatch):
+    """The connector isn't here: what would be asked of it is recorded."""
+    monkeypatch.setattr(transport, "require_kafka", lambda spark: None)
+    asked = {}
+
+    class Asked:
+        def __init__(self, way):
+            self.way, self.set = way, {}
+            asked[way] = self.set
+
+        def format(self, name):
+            self.set["format"] = name
+            return self
+
+        def options(self, **options):
+            self.set.update(options)
+            return self
+
+        def load(self):
+            return spark.createDataFrame([], "key binary, value binary, partition int, offset long")
+
+        def save(self):
+            pass
+
+    class Fake:
+        read, readStream = property(lambda s: Asked("read")), property(lambda s: Asked("stream"))
+
+    way = transport.Kafka("broker:1", "t")
+    way.read(Fake())
+    way.stream(Fake(), latest=True)
+    monkeypatch.setattr(type(spark.range(1)), "write", property(lambda df: Asked("write")))
+    way.send(generate(spark, ["IDEA"], 1))
+    assert asked["read"] == {"format": "kafka", "kafka.bootstrap.servers": "broker:1", "subscribe": "t", "startingOffsets": "earliest", "endingOffsets": "latest"}
+    assert asked["stream"]["startingOffsets"] == "latest" and asked["stream"]["subscribe"] == "t"
+    assert asked["write"]["topic"] == "t" and asked["write"]["kafka.acks"] == "all" and asked["write"]["format"] == "kafka"
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Fake:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_folder(Fake, "x")
+
+
 # --- commands
 
 
-@pytest.mark.parametrize("command", ["spec", "feed", "sweep", "boundary", "transport"])
+@pytest.mark.parametrize("command", ["spec", "feed", "sweep", "boundary", "records", "transport"])
 def test_commands(spark, capsys, command):
     assert cli.main(["--minutes", "25", command], spark) == 0
     assert capsys.readouterr().out.strip()

@@ -1,4 +1,4 @@
-"""Command line: spec, feed, parity, sweep, boundary, transport."""
+"""Command line: spec, feed, parity, sweep, boundary, records, transport."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import DataFrame
 
 from .functions.features import standard_features
-from .operators import admission, parity, statistics
+from .operators import admission, parity, records, statistics
 from .operators.grid import Grid
 from .plans.tables import Run
 from .session import local_session, shared_folder
@@ -30,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
     commands = p.add_subparsers(dest="command", required=True)
     for name, text in (
         ("spec", "print the features"), ("feed", "describe the synthetic feed"), ("parity", "compare streaming with replay and naive"),
-        ("sweep", "price watermarks"), ("boundary", "find the first exact watermark"),
+        ("sweep", "price watermarks"), ("boundary", "find the first exact watermark"), ("records", "compare the plans with the record engine"),
     ):
         commands.add_parser(name, help=text)
     sent = commands.add_parser("transport", help="send the feed and read it back")
@@ -68,6 +68,17 @@ def _parity(args, spark, say) -> int:
     return int(covered and not agree)
 
 
+def _records(args, spark, say) -> int:
+    """Fails unless every table agrees, on at least one row, with what plain Python makes of it."""
+    run, wrong = Run(_feed(args, spark), args.watermark, Grid(60.0)), 0
+    for kind in records.TABLES:
+        per = records.against_records(run, kind).persist()
+        agree = bool(parity.report(per).first().agree)
+        wrong += not agree
+        say(f"{kind}, plans against records: {'agree' if agree else 'differ'}\n" + table_text(per.select(*_SHOWN)))
+    return int(wrong > 0)
+
+
 def _boundary(args, spark, say) -> int:
     run = Run(_feed(args, spark), args.watermark, Grid())
     worst = (admission.least_exact_watermark_us(run.unique).first().max_lateness_us or 0) / 1e6
@@ -114,7 +125,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if args.command == "sweep":
         say(table_text(parity.watermark_sweep(Run(_feed(args, spark), args.watermark, Grid())).orderBy("watermark_s")))
         return 0
-    return {"parity": _parity, "boundary": _boundary, "transport": _transport}[args.command](args, spark, say)
+    return {"parity": _parity, "boundary": _boundary, "records": _records, "transport": _transport}[args.command](args, spark, say)
 
 
 if __name__ == "__main__":

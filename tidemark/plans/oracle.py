@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from ..functions.features import FeatureSet, standard_features
 from ..operators.parity import SKEW_TOLERANCE
+from ..operators.records import TABLES
 from ..schema import MEASURE_STEPS, micros
-from .queries import EDGES, FRAME_S, HOP_S, HOPPING_S, STEP_S, SWEEP, UNIT, WARMUP_S, WATERMARK_S
+from .queries import EDGES, FRAME_S, HOP_S, HOPPING_S, LAWS, STEP_S, SWEEP, UNIT, WARMUP_S, WATERMARK_S
 
 FEED = """
 first AS (
@@ -158,7 +159,16 @@ _STREAMS, _NAIVE, _REPLAY, _RETRO = (
     _table("streams", "admitted", True, begun=True), _table("naive", "uniq", False), _table("replay", "uniq", True), _table("retro", "admitted", False),
 )
 
+_DELIVERED = FEED.replace("FROM numbered WHERE nth = 1", "FROM numbered")
+_ANY = standard_features(UNIT)
+_RETAINED_US = _ANY.longest_us + micros(WATERMARK_S) + 60_000_000
+
 ORACLE_SQL: dict[str, str] = {
+    "delivered_features": _full("uniq", False).replace(FEED, _DELIVERED),
+    "stream_delivered": f"WITH {_DELIVERED} SELECT symbol, count(*) AS ticks FROM admitted GROUP BY symbol",
+    "stream_retained": f"WITH {FEED} SELECT symbol, seq FROM admitted WHERE event_us > (SELECT max(event_us) FROM uniq) - {_RETAINED_US}",
+    "generator_laws": f"SELECT unnest(['IDEA', 'YESBANK', 'PNB', 'SUZLON']) AS symbol, {', '.join(f'true AS {n}' for n in LAWS)}",
+    "record_engine": f"SELECT t.kind AS \"table\", n.name, true AS compared, 0 AS disagreements FROM (SELECT unnest({list(TABLES)}) AS kind) t, (SELECT unnest({_ANY.names}) AS name) n",
     "ticks_from_events": _with() + " SELECT symbol, event_us, arrival_us, ltp, ltq, seq FROM ticks",
     "tick_lateness": _with() + " SELECT symbol, seq, arrival_us, arrival_us - event_us AS lateness_us FROM ticks",
     "dedup_first_wins": _with() + " SELECT symbol, event_us, arrival_us, ltp, ltq, seq FROM uniq",

@@ -6,18 +6,19 @@ The feed spans a month, so windows are stretched from minutes to hours.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import safe_ratio, standard_features
-from ..operators import admission, parity, statistics
+from ..operators import admission, parity, records, statistics
 from ..operators.grid import Grid
-from ..schema import TICK_COLUMNS, lateness_us, micros
+from ..schema import MICROS, TICK_COLUMNS, lateness_us, micros
 from ..session import shared_folder
 from ..sources import codec, store, transport
 from ..sources.events import events_feed
+from ..sources.generator import NOISY, START_S, generate
 from ..streaming import engine
 from .tables import Run
 
@@ -33,6 +34,10 @@ def _run(spark: SparkSession, sf_dir: str, step_s: float = STEP_S, panes: bool |
     return Run(events_feed(spark, sf_dir), WATERMARK_S, Grid(step_s, WARMUP_S), standard_features(UNIT), panes)
 
 
+#: What every law of the generator says; the tables of the record engine.
+LAWS = ("in_session", "measures_whole", "lateness_bounded", "late_rate", "disorder_rate", "seqs_whole", "mean_gap", "duplicate_rate", "event_order", "same_again")
+
+
 def _rounded(table: DataFrame, names: list[str]) -> DataFrame:
     """Quotients at six decimals, as the comparison hashes values."""
     return table.withColumns({n: F.round(n, 6) for n in names})
@@ -264,6 +269,61 @@ def stream_features_exact(spark, sf_dir):
     return _rounded(engine.served(run, ticks), run.features.names)
 
 
+def delivered_features(spark, sf_dir):
+    """The naive table with every delivery counted: the deduplication switched off."""
+    run = Run(events_feed(spark, sf_dir), WATERMARK_S, Grid(STEP_S, WARMUP_S), standard_features(UNIT), deduplicated=False)
+    return _rounded(run.naive(), run.features.names)
+
+
+def stream_delivered(spark, sf_dir):
+    """Ticks per symbol that the exact stream admits with deduplication switched off."""
+    ticks = engine.admit_stream(events_feed(spark, sf_dir), shared_folder(spark, "delivered"), WATERMARK_S, deduplicated=False)
+    return ticks.groupBy("symbol").agg(F.count("*").alias("ticks"))
+
+
+def stream_retained(spark, sf_dir):
+    """The keys of admitted ticks that the exact stream still holds at the feed's end: those its longest window can need."""
+    keep = engine.default_retention_s(standard_features(UNIT), WATERMARK_S)
+    return engine.admit_stream(events_feed(spark, sf_dir), shared_folder(spark, "retained"), WATERMARK_S, retain_s=keep).select("symbol", "seq")
+
+
+def generator_laws(spark, sf_dir):
+    """What holds for every generated feed, by symbol: ticks in the session and in event order by seq, measures above zero, prices in
+    cents, arrivals at or after events, rates near the profile's, redeliveries of what was sent, the same feed for the same seed."""
+    symbols, minutes, start_us = ["IDEA", "YESBANK", "PNB", "SUZLON"], 60.0, micros(START_S)
+    feed = generate(spark, symbols, minutes, NOISY, 3)
+    unique = admission.deduplicate(feed)
+    again = generate(spark, symbols[:2], minutes, NOISY, 3).select("symbol", F.shiftright(F.xxhash64(*TICK_COLUMNS), 20).alias("h")).groupBy("symbol").agg(F.sum("h").alias("h"))
+    same = feed.select("symbol", F.shiftright(F.xxhash64(*TICK_COLUMNS), 20).alias("h")).groupBy("symbol").agg(F.sum("h").alias("first")).join(again, "symbol", "left")
+    turned = statistics.inversions(unique, "event_us", ("symbol",), ("seq",)).groupBy("symbol").agg(F.count("*").alias("turned"))
+    late, near = lateness_us(), lambda share, rate: F.abs(share - rate) < 0.02
+    share = lambda c: F.avg(c.cast("double"))
+    per = unique.groupBy("symbol").agg(
+        F.bool_and((F.col("event_us") > start_us) & (F.col("event_us") <= start_us + micros(minutes * 60))).alias("in_session"),
+        F.bool_and((F.col("ltp") >= 0.05) & (F.col("ltq") >= 1) & (F.round("ltp", 2) == F.col("ltp")) & (F.floor("ltq") == F.col("ltq"))).alias("measures_whole"),
+        F.bool_and((late >= 0) & (late <= micros(NOISY.max_lateness_s))).alias("lateness_bounded"),
+        near(share(late >= MICROS), NOISY.late_rate).alias("late_rate"),
+        near(share((late > 0) & (late < MICROS)), NOISY.out_of_order_rate * (1 - NOISY.late_rate)).alias("disorder_rate"),
+        (F.count("*") == F.max("seq") + 1).alias("seqs_whole"),
+        (F.abs(F.count("*") * NOISY.mean_gap_s / (minutes * 60) - 1) < 0.1).alias("mean_gap"),
+        F.count("*").alias("_unique"),
+    )
+    sent = feed.groupBy("symbol").agg(F.count("*").alias("_sent"))
+    out = per.join(sent, "symbol").join(same, "symbol").join(turned, "symbol", "left")
+    return out.select(
+        "symbol", "in_session", "measures_whole", "lateness_bounded", "late_rate", "disorder_rate", "seqs_whole", "mean_gap",
+        near(F.col("_sent") / F.col("_unique") - 1, NOISY.duplicate_rate).alias("duplicate_rate"),
+        F.coalesce(F.col("turned") == 0, F.lit(True)).alias("event_order"), F.coalesce(F.col("first") == F.col("h"), F.lit(True)).alias("same_again"),
+    )
+
+
+def record_engine(spark, sf_dir):
+    """Every table of a half-hour feed against plain Python, record by record: cells that disagree, by table and feature."""
+    run = Run(generate(spark, ["IDEA", "PNB"], 30.0, NOISY, 0).persist(), 45.0, Grid(60.0))
+    found = [records.against_records(run, kind).select(F.lit(kind).alias("table"), "name", (F.col("compared") > 0).alias("compared"), "disagreements") for kind in records.TABLES]
+    return reduce(DataFrame.unionByName, found)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -271,7 +331,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lateness_exact_rank, eval_grid, symbol_grid, replay_by_range_join, odd_windows, derived_features, empty_rows, window_shifted_hopping, range_frame_left_open,
         boundary_edges, admission_verdicts, stream_stats, watermark_sweep, boundary_law, exact_watermark, parity_skew, parity_correctness, parity_retrospective,
         parity_worst, parity_report, unmatched_cells, lost_keys_anti, union_feeds, symbols_per_partition, transport_reorder, tick_json_roundtrip, store_roundtrip,
-        stream_dedup_late, stream_features_exact,
+        stream_dedup_late, stream_features_exact, delivered_features, stream_delivered, stream_retained, generator_laws, record_engine,
     )
 } | {
     "feat_avg": partial(_features, ("ltq_avg_2m", "ltq_avg_5m", "ltq_avg_20m", "ltp_avg_5m")),

@@ -23,11 +23,33 @@ def local_session(name: str = "tidemark", cores: str = "*", partitions: int = 8)
     return spark
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Where that is unset, one of this process's own, which only a local master can share."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
+    return _OWN[0]
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path under spark.checkpoint.dir; only where that is unset, under one of this process's own."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
-        root = _OWN[0]
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path under the shared one."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def path_of(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def age_in_order(spark: SparkSession, path: str) -> None:
+    """Gives a folder's Parquet files times in the order of their names, so that a stream reads them in that order."""
+    fs, folder = path_of(spark, path)
+    files = sorted((f for f in fs.listStatus(folder) if f.getPath().getName().endswith(".parquet")), key=lambda f: (f.getModificationTime() // 3_600_000, f.getPath().getName()))
+    newest = max((f.getModificationTime() for f in files), default=0)
+    for i, f in enumerate(files):
+        fs.setTimes(f.getPath(), newest - (len(files) - i) * 1000, -1)

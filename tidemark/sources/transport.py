@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import TICK_COLUMNS
+from ..session import age_in_order, path_of
 from .codec import from_records, to_records
 
 FOLDER_SCHEMA = "key binary, value binary, partition int, offset long"
@@ -21,6 +24,30 @@ def require_kafka(spark: SparkSession) -> None:
         raise RuntimeError("Kafka needs the connector: start Spark with --packages org.apache.spark:spark-sql-kafka-0-10_2.13:<Spark version>") from e
 
 
+def ensure_topic(admin, topic: str, new_topic: Callable, listed: Callable, wait_s: float, pause_s: float = 0.2) -> bool:
+    """Makes `topic` unless `admin` names it, then asks until each of its partitions has a leader."""
+    made = topic not in set(admin.listTopics().names().get())
+    if made:
+        try:
+            admin.createTopics(listed(new_topic())).all().get()
+        except Exception as e:  # someone else was faster
+            if "TopicExists" not in str(e):
+                raise
+            made = False
+    until = time.monotonic() + wait_s
+    while True:
+        try:
+            partitions = list(admin.describeTopics(listed(topic)).allTopicNames().get().get(topic).partitions())
+            if partitions and all(p.leader() is not None and not p.leader().isEmpty() for p in partitions):
+                return made
+        except Exception as e:  # not yet known to every broker
+            if "UnknownTopic" not in str(e):
+                raise
+        if time.monotonic() >= until:
+            raise TimeoutError(f"no leader for every partition of {topic} within {wait_s:g} s")
+        time.sleep(pause_s)
+
+
 @dataclass(frozen=True)
 class Kafka:
     bootstrap: str = "localhost:9092"
@@ -31,9 +58,24 @@ class Kafka:
         ("kafka.request.timeout.ms", "25000"), ("kafka.delivery.timeout.ms", "30000"),
     )
 
+    partitions: int = 3
+    replication: int = 1
+
     def options(self) -> dict[str, str]:
         return {"kafka.bootstrap.servers": self.bootstrap}
 
+    def ensure(self, spark: SparkSession, wait_s: float = 30.0) -> bool:
+        """Makes the topic, whether it was made now; returns once every partition of it has a leader. Through the client that the connector brings."""
+        require_kafka(spark)
+        jvm = spark.sparkContext._jvm
+        settings = jvm.java.util.Properties()
+        settings.put("bootstrap.servers", self.bootstrap)
+        admin = jvm.org.apache.kafka.clients.admin.AdminClient.create(settings)
+        try:
+            return ensure_topic(admin, self.topic, lambda: jvm.org.apache.kafka.clients.admin.NewTopic(self.topic, self.partitions, self.replication), jvm.java.util.Collections.singletonList, wait_s)
+        finally:
+            admin.close()
+
     def send(self, ticks: DataFrame) -> None:
         """Fails if any record could not be written."""
         require_kafka(ticks.sparkSession)
@@ -61,20 +103,21 @@ class Folder:
 
     def ensure(self, spark: SparkSession) -> bool:
         """Makes the folder; whether it was made now."""
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs, path = path_of(spark, self.path)
         if fs.exists(path):
             return False
         fs.mkdirs(path)
         return True
 
     def send(self, ticks: DataFrame) -> None:
+        """Records are dealt by ranges of (partition, order), as many as their number asks for, and not by partition alone."""
         part = F.pmod(F.xxhash64("symbol"), F.lit(self.partitions)).cast("int")
         dealt = to_records(ticks.withColumn("_partition", part).withColumn("_order", F.struct("arrival_us", "seq")), "_partition", "_order")
-        placed = dealt.repartition(self.partitions, "_partition").sortWithinPartitions("_partition", "_order")
-        # Offsets only have to grow within a partition.
+        placed = dealt.repartitionByRange("_partition", "_order").sortWithinPartitions("_partition", "_order")
+        # Offsets only have to grow within a partition; tasks hold ranges in order.
         records = placed.select("key", "value", F.col("_partition").alias("partition"), F.monotonically_increasing_id().alias("offset"))
         records.write.mode("append").parquet(self.path)
+        age_in_order(ticks.sparkSession, self.path)
 
     def read(self, spark: SparkSession) -> DataFrame:
         return from_records(spark.read.schema(FOLDER_SCHEMA).parquet(self.path), "partition", "offset")
@@ -86,8 +129,7 @@ class Folder:
 def round_trip(ticks: DataFrame, transport: Kafka | Folder) -> DataFrame:
     """What comes back of what was sent, in the transport's order."""
     spark = ticks.sparkSession
-    if isinstance(transport, Folder):
-        transport.ensure(spark)
+    transport.ensure(spark)
     transport.send(ticks)
     return transport.read(spark)
 
