@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import cli
+from tidemark import cli, session
 from tidemark.functions.features import standard_features
 from tidemark.operators import admission, parity, records, statistics
 from tidemark.operators.grid import Grid
@@ -395,6 +395,14 @@ def test_a_cluster_without_a_shared_folder_is_refused():
         shared_folder(Fake, "x")
 
 
+def test_what_a_process_wrote_can_be_deleted(spark):
+    path = shared_folder(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3 and session.clean(spark) > 0
+    fs, found = session.path_of(spark, path)
+    assert not fs.exists(found) and session.clean(spark) == 0
+
+
 # --- commands
 
 

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _OWN: list[str] = []
+_MADE: list[str] = []
 
 
 def local_session(name: str = "tidemark", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -36,8 +37,18 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path under the shared one."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path under the shared one; `clean` deletes it."""
+    _MADE.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the folders that this process has made so far, and so the tables that earlier results read; their number."""
+    made, _MADE[:] = list(_MADE), []
+    for path in made:
+        fs, found = path_of(spark, path)
+        fs.delete(found, True)
+    return len(made)
 
 
 def path_of(spark: SparkSession, path: str):
