@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOT: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset, one of this process's own."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not _LOCAL_ROOT:
-        _LOCAL_ROOT.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
-    return _LOCAL_ROOT[0]
+from ..session import path_of, shared_folder
 
 
 class Tables:
-    """Written tables of one operator run; `drop` deletes those that later steps no longer read."""
+    """Written tables of one operator run; `drop` deletes those that later steps no longer read, `tidemark.session.clean` all of a process,
+    once their results are no longer needed."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.base = shared_folder(spark, name)
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -33,11 +21,9 @@ class Tables:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            fs, path = path_of(self.spark, f"{self.base}/{name}")
+            fs.delete(path, True)
 
 
 #: Rows of text that are read from Parquet or cross to Python at once, at most: a batch of long texts has to fit into
@@ -47,7 +33,8 @@ _BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.c
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lowers the session's batches to `rows`; lower settings stay."""
+    """Lowers the session's batches to `rows`; lower settings stay. They have to hold when a result is computed, so they aren't raised
+    again: deployments set both for the sessions that read long texts, and other queries in sessions of their own."""
     for name in _BATCHES:
         now = int(spark.conf.get(name))
         if now <= 0 or now > rows:
