@@ -29,6 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +45,8 @@ RADIUS = BLOCKS * (BLOCK_ERRORS + 1) - 1
 #: Every way to flip up to BLOCK_ERRORS bits of a block.
 FLIPS = np.array([0] + [sum(1 << b for b in c) for n in range(1, BLOCK_ERRORS + 1) for c in combinations(range(BLOCK_BITS), n)], np.int64)
 BLOCK_SHINGLES = 4_000_000
-_FILTER_BITS = 25
-_WINDOWS = 1024
+#: Windows whose prints are looked up at once.
+_WINDOWS = 128
 MATCH = "array<struct<item_id:bigint,start:bigint,n_words:bigint,distance:int,similarity:double>>"
 _MATCH_TYPE = pa.list_(
     pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int32()), ("similarity", pa.float64())])
@@ -81,7 +82,7 @@ class Index:
     hashes: np.ndarray  # sorted distinct (shingle, run of items of one length); the run of each in `runs`
     runs: np.ndarray
     run_starts: np.ndarray  # where each run begins in the items
-    seen: np.ndarray  # by the low bits of a shingle, packed: whether an item may hold it
+    seen: np.ndarray  # by the low bits of a shingle, packed, some 16 bits for each: whether an item may hold it
     block_starts: np.ndarray  # by block and value: where its items begin in `members`
     members: np.ndarray
 
@@ -105,7 +106,7 @@ class Index:
         return window, item, np.bitwise_count(own[item] ^ asked[window]).sum(axis=1)
 
     def may_hold(self, values: np.ndarray) -> np.ndarray:
-        low = (values & U64((1 << _FILTER_BITS) - 1)).astype(np.int64)
+        low = (values & U64(8 * len(self.seen) - 1)).astype(np.int64)
         return (self.seen[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -135,8 +136,8 @@ def build_index(items: list[tuple[list[int | None], int, np.ndarray, np.ndarray]
     by = np.lexsort((owner, flat))
     hashes, runs = flat[by], owner[by]
     first = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (runs[1:] != runs[:-1])])
-    seen = np.zeros(1 << _FILTER_BITS, bool)
-    seen[(flat & U64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
+    seen = np.zeros(1 << max(16, (16 * len(flat)).bit_length()), bool)
+    seen[(flat & U64(len(seen) - 1)).astype(np.int64)] = True
     table = np.stack([x[3] for x in items])
     slots = (table.astype(np.int64) + np.arange(BLOCKS) * (1 << BLOCK_BITS)).T.ravel()
     order = np.argsort(slots, kind="stable")
@@ -181,7 +182,7 @@ def _matches(index: Index, runs: np.ndarray, k: int, places: np.ndarray) -> Iter
                 continue
             begin, end = int(part[0]), int(part[-1]) + m
             if total is None or begin < first or end > first + len(total) - 1:
-                if end - begin > 16 * _WINDOWS:  # far apart: each window's votes by themselves
+                if end - begin > 64 * _WINDOWS:  # far apart: each window's votes by themselves
                     prints = np.concatenate([fingerprints(votes(runs[s : s + m]).sum(axis=0, keepdims=True)) for s in part.tolist()])
                 else:
                     total, first = np.concatenate([np.zeros((1, 128), np.int32), np.cumsum(votes(runs[begin:end]), axis=0, dtype=np.int32)]), begin
@@ -220,32 +221,41 @@ def match_texts(index: Index, column: pa.Array) -> list[list[dict]]:
     return out
 
 
-class _Blocks:
-    """The indexes of a worker, one held at a time."""
+#: The index a worker holds, by its broadcast; tasks that run in the same worker after each other use it again.
+_held: dict[int, Index | None] = {}
 
-    def __init__(self, sent: list):
-        self.sent, self.at, self.index = sent, -1, None
 
-    def __iter__(self) -> Iterator[Index]:
-        for i, one in enumerate(self.sent):
-            if self.at != i:
-                self.index = None
-                self.at, self.index = i, build_index(_unpack(one.value))
-            yield self.index
+def _indexes(sent: list) -> Iterator[Index | None]:
+    for one in sent:
+        if one.bid not in _held:
+            _held.clear()
+            _held[one.bid] = build_index(_unpack(one.value))
+        yield _held[one.bid]
+
+
+class _Sent:
+    """A broadcast with an identity that workers can tell it by."""
+
+    def __init__(self, bid: int, broadcast):
+        self.bid, self.broadcast = bid, broadcast
+
+    @property
+    def value(self) -> bytes:
+        return self.broadcast.value
 
 
 def _match_column(sent: list, text: Column) -> Column:
     @F.arrow_udf(MATCH)
     def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        blocks = _Blocks(sent)
         for texts in batches:
             found: list[list[dict]] = [[] for _ in range(len(texts))]
-            for index in blocks:
+            for index in _indexes(sent):
                 for all_of, more in zip(found, match_texts(index, texts), strict=True):
                     all_of += more
             yield pa.array([sorted(x, key=lambda m: (m["item_id"] is None, m["item_id"] or 0)) for x in found], _MATCH_TYPE)
 
-    return match(text)
+    # Not repeated for the filter that explode brings.
+    return match.asNondeterministic()(text)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +289,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
     for b in range(blocks):
         rows = features.filter(block == b).orderBy("words", "shingles").collect()
         if rows:
-            sent.append(spark.sparkContext.broadcast(_pack(rows)))
+            packed = _pack(rows)
+            sent.append(_Sent(xxhash.xxh3_64_intdigest(packed), spark.sparkContext.broadcast(packed)))
     none = F.array().cast(MATCH)
     docs = docs.drop("leaks")
     return docs.withColumn("leaks", F.coalesce(_match_column(sent, F.col(text)), none) if sent else none)
