@@ -35,7 +35,8 @@ from .components import components
 NEIGHBOURS = 10
 #: Vectors of a family that are compared with as many others in one task.
 FAMILY_BLOCK = 1024
-_CHUNK = 256
+#: Cells' projections, of all tables and lattices, that are decoded at once.
+_CHUNK = 256 * 52
 _COLUMNS = 2048
 FEATURES = "vec_id long, vector array<double>, fp1 long, fp2 long, own array<long>, cells array<long>"
 FOUND = "a long, b long, n long"
@@ -131,9 +132,10 @@ class Hasher:
 
 def _features(cells: Resolution, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashers: dict[int, Hasher] = {}
+    step = max(16, _CHUNK // (cells.tables * cells.lattices))
     for batch in batches:
-        for at in range(0, batch.num_rows, _CHUNK):
-            part = batch.slice(at, _CHUNK)
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
             ids, vectors = part.column(0).to_pylist(), part.column(1)
             rows: dict[int, list[int]] = {}
             held = vectors.to_numpy(zero_copy_only=False)
