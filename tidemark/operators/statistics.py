@@ -9,13 +9,20 @@ from ..schema import lateness_us
 from .admission import BUCKET_S, deduplicate, in_buckets
 
 
-def inversions(ticks: DataFrame, time: str = "event_us", keys: tuple[str, ...] = (), order: tuple[str, ...] = ("arrival_us", "seq", "symbol"), bucket_s: float = BUCKET_S) -> DataFrame:
+def inversions(
+    ticks: DataFrame,
+    time: str = "event_us",
+    keys: tuple[str, ...] = (),
+    order: tuple[str, ...] = ("arrival_us", "seq", "symbol"),
+    bucket_s: float = BUCKET_S,
+    of: DataFrame | None = None,
+) -> DataFrame:
     """Rows whose `time` is before that of the row next before them in `order`, over all rows or per key.
 
-    Rows fall into buckets of a bounded number of rows by the first order column; each bucket is ordered in a task of its
+    Rows fall into buckets of a bounded number of rows by the first order column (from counts of `of`); each bucket is ordered in a task of its
     own, and its first row is compared with the last row of the bucket before it.
     """
-    named = in_buckets(ticks, order[0], keys, bucket_s)
+    named = in_buckets(ticks, order[0], keys, bucket_s, of)
     place = F.struct(*order)
     tails = named.groupBy(*keys, "_bucket").agg(F.max_by(time, place).alias("_tail"))
     tails = tails.withColumn("_tail", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_bucket")))
@@ -60,7 +67,7 @@ def feed_statistics(ticks: DataFrame) -> DataFrame:
         F.max_by("event_us", F.struct("arrival_us", "seq", "symbol")).alias("last_us"),
     )
     one = unique.agg(F.count("*").alias("unique"), F.max(lateness_us()).alias("max_us"))
-    turned = inversions(unique).agg(F.count("*").alias("out_of_order"))
+    turned = inversions(unique, of=ticks).agg(F.count("*").alias("out_of_order"))
     at = ranked(unique.select(lateness_us().alias("late")), "late", {"p99_us": P99, "median_us": MEDIAN})
     row = total.crossJoin(one).crossJoin(turned).crossJoin(at).filter("ticks > 0")
     return row.select(

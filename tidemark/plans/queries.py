@@ -58,7 +58,8 @@ def dedup_first_wins(spark, sf_dir):
 
 def event_order(spark, sf_dir):
     """The place of each deduplicated tick of a symbol by event time, then seq: that in its bucket, and the ticks of buckets before."""
-    named = admission.in_buckets(admission.deduplicate(events_feed(spark, sf_dir)), "event_us", ("symbol",))
+    ticks = events_feed(spark, sf_dir)
+    named = admission.in_buckets(admission.deduplicate(ticks), "event_us", ("symbol",), of=ticks)
     earlier = Window.partitionBy("symbol").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     heads = named.groupBy("symbol", "_bucket").agg(F.count("*").alias("_n")).select("symbol", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("symbol", "_bucket").orderBy("event_us", "seq"))
@@ -83,8 +84,8 @@ def feed_statistics(spark, sf_dir):
 
 
 def out_of_order_pairs(spark, sf_dir):
-    unique = admission.deduplicate(events_feed(spark, sf_dir))
-    return statistics.inversions(unique).select("symbol", "seq", "event_us", "arrival_us")
+    ticks = events_feed(spark, sf_dir)
+    return statistics.inversions(admission.deduplicate(ticks), of=ticks).select("symbol", "seq", "event_us", "arrival_us")
 
 
 def lateness_exact_rank(spark, sf_dir):

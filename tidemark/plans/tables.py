@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import FeatureSet, standard_features
-from ..operators.admission import DEFAULT_WATERMARK_S, admit, as_delivered, deduplicate, is_late, with_previous_max
+from ..operators.admission import DEFAULT_WATERMARK_S, admit, as_delivered, deduplicate, is_busy, is_late, with_previous_max
 from ..operators.grid import Grid, Span
 from ..operators.pit import feature_table
 from ..schema import micros
@@ -40,10 +40,15 @@ class Run:
         """Read once for all tables of the run."""
         return self.grid.span(self.unique)
 
+    @cached_property
+    def busy(self) -> bool:
+        """Whether stretches of time have to be split, read once."""
+        return is_busy(self.ticks)
+
     @cached_property
     def ran(self) -> DataFrame:
         """Deduplicated ticks with their running maximum."""
-        return with_previous_max(self.unique)
+        return with_previous_max(self.unique, of=self.ticks, busy=self.busy)
 
     def settle(self) -> Run:
         """Writes `ran` once, for what reads it more than once."""
@@ -67,7 +72,7 @@ class Run:
         return self._table(self.unique, True)
 
     def admitted(self) -> DataFrame:
-        return admit(self.unique, self.watermark_s)
+        return admit(self.unique, self.watermark_s, self.ticks, self.busy)
 
     def retrospective(self) -> DataFrame:
         return self._table(self.admitted(), False)

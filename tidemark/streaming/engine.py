@@ -73,7 +73,7 @@ def exact_sink(folder: str, watermark_s: float, deduplicated: bool = True, retai
                 known = spark.read.schema(_KEYS).parquet(f"{folder}/keys/batch={before[-1]}")
                 first = first.join(known, ["symbol", "seq"], "left_anti")
         carried_us = F.lit(carried).cast("long")
-        ran = with_previous_max(first.select(*TICK_COLUMNS))
+        ran = with_previous_max(first.select(*TICK_COLUMNS), of=ticks)
         ran = ran.withColumn("prev_max_us", F.greatest("prev_max_us", carried_us)).persist()
         try:
             put = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
