@@ -177,6 +177,22 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, k, block, held)
     assert all(r.n_shingles == len(sets[i]) and r.kept == (component[i] == i) for i, r in got.items())
 
 
+@pytest.mark.parametrize("often", [1, 3, 10, 10**9])
+@pytest.mark.parametrize("cells", [7, 100, 4_000_000])
+def test_elements_in_common_are_counted_alike_by_products_and_by_holders(monkeypatch, often, cells):
+    monkeypatch.setattr(minhash, "OFTEN", often)
+    monkeypatch.setattr(minhash, "PRODUCT_CELLS", cells)
+    draw = np.random.default_rng(often % 97)
+    sets = [np.unique(draw.integers(0, 60, draw.integers(0, 40)).astype(np.uint64)) for _ in range(25)]
+    sizes = np.array([len(s) for s in sets])
+    asked = np.flatnonzero(sizes)[::2]
+    found = list(minhash._in_common(sets, sizes, asked))
+    assert len(found) == len(asked) > 5
+    for i, common in zip(asked.tolist(), found, strict=True):
+        assert all(common[j] == len(np.intersect1d(sets[i], sets[j])) for j in range(25) if j != i)
+    assert list(minhash._in_common([np.empty(0, np.uint64)] * 2, np.zeros(2, np.int64), np.empty(0, np.int64))) == []
+
+
 def test_near_duplicates_without_broadcast_and_with_null_ids(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
     text = " ".join(f"w{i}" for i in range(50))

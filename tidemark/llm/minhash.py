@@ -38,6 +38,8 @@ CHUNKS, WIDTH, ERRORS = 9, 5, 1
 SYMBOLS = CHUNKS * WIDTH
 #: Documents of a family, and shingles of theirs, that are compared with as many others in one task; a longer text is taken whole.
 FAMILY_BLOCK, FAMILY_SHINGLES = 1024, 1_000_000
+#: Shingles held by one in OFTEN of a task's documents are counted by matrix products, of matrices with so many cells.
+OFTEN, PRODUCT_CELLS = 10, 4_000_000
 #: Ids that are broadcast to pick the texts whose sets are needed; beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
 FEATURES = "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>"
@@ -122,6 +124,42 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(common * 100 >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
 
+def _in_common(sets: list[np.ndarray], sizes: np.ndarray, asked: np.ndarray) -> Iterator[np.ndarray]:
+    """For each of the sets asked for, how many elements it has in common with every set.
+
+    Elements that many sets hold are counted by matrix products over blocks of them, the others by going through their
+    holders; both are exact.
+    """
+    n = len(sets)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat)
+    held = np.repeat(np.arange(n), sizes)[order]
+    flat = flat[order]
+    del order
+    begins = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    counts = np.diff(np.append(begins, len(flat)))
+    element = np.repeat(np.arange(len(begins)), counts)
+    often = counts * OFTEN >= n
+    common = np.zeros((len(asked), n), np.int32)
+    shared = often[element]
+    row, column = held[shared], (np.cumsum(often) - 1)[element[shared]]
+    width = max(1, PRODUCT_CELLS // n)
+    for c in range(0, int(often.sum()), width):
+        lo, hi = np.searchsorted(column, [c, c + width])
+        has = np.zeros((n, width), np.float32)
+        has[row[lo:hi], column[lo:hi] - c] = 1
+        common += (has[asked] @ has.T).astype(np.int32)
+    del shared
+    rest = np.flatnonzero((~often & (counts > 1))[element])
+    rest = rest[np.argsort(held[rest], kind="stable")]
+    ends = np.searchsorted(held[rest], asked, "right")
+    for i, (lo, hi) in enumerate(zip(np.searchsorted(held[rest], asked), ends, strict=True)):
+        own = element[rest[lo:hi]]
+        spans = counts[own]
+        at = np.repeat(begins[own] - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
+        yield common[i] + np.bincount(held[at], minlength=n)
+
+
 class _Family:
     """The documents of one task's pair of blocks, compared across components."""
 
@@ -142,22 +180,14 @@ class _Family:
             return x
 
         sizes = np.array([len(s) for s in self.sets], np.int64)
-        flat = np.concatenate(self.sets)
-        order = np.argsort(flat, kind="stable")
-        values, holders = flat[order], np.repeat(np.arange(n), sizes)[order]
         sides = np.array(self.sides)
         # The component with most documents is gone through last, when few of its pairs are still open.
         labels = np.array(self.labels)
         _, code, often = np.unique(labels, return_inverse=True, return_counts=True)
         main = often.argmax()
+        asked = np.flatnonzero((code != main) & (sizes > 0))
         out = []
-        for i in np.flatnonzero(code != main).tolist():
-            if not sizes[i]:
-                continue
-            lo, hi = np.searchsorted(values, self.sets[i]), np.searchsorted(values, self.sets[i], "right")
-            spans = hi - lo
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
-            common = np.bincount(holders[at], minlength=n)
+        for i, common in zip(asked.tolist(), _in_common(self.sets, sizes, asked), strict=True):
             near = (common * 100 >= percent * (sizes + sizes[i] - common)) & ((code == main) | (np.arange(n) > i))
             if not same:
                 near &= sides != sides[i]
