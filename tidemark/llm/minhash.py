@@ -143,8 +143,9 @@ def _in_common(sets: list[np.ndarray], sizes: np.ndarray, asked: np.ndarray) ->
     common = np.zeros((len(asked), n), np.int32)
     shared = often[element]
     row, column = held[shared], (np.cumsum(often) - 1)[element[shared]]
-    width = max(1, PRODUCT_CELLS // n)
-    for c in range(0, int(often.sum()), width):
+    many = int(often.sum())
+    width = max(1, min(many, PRODUCT_CELLS // n))
+    for c in range(0, many, width):
         lo, hi = np.searchsorted(column, [c, c + width])
         has = np.zeros((n, width), np.float32)
         has[row[lo:hi], column[lo:hi] - c] = 1
