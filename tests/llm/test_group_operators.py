@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import chat, html, lattice, minhash, mixing, queries
+from tidemark.llm import _store, chat, html, lattice, minhash, mixing, queries
 from tidemark.llm._words import BLANKS, shingles, word_batches
 from tidemark.llm.components import components
 
@@ -296,6 +296,65 @@ def test_vectors_against_brute_force(spark, monkeypatch, block, of):
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i, _ in odd)
 
 
+def test_a_vector_is_sent_to_few_cells():
+    for of in lattice.RESOLUTIONS:
+        assert of.tables * (of.probes + 1) < 100
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_are_sent_in_bounded_parts(spark, monkeypatch, kind):
+    monkeypatch.setattr(lattice, "ROOM", 0)
+    monkeypatch.setattr(lattice, "LEAST_ROOM", 1 << 20)
+    monkeypatch.setattr(lattice, "FAMILY_BLOCK", 100)
+    dealt, sent = lattice._dealt, []
+
+    def counted(*args):
+        for part in dealt(*args):
+            sent.append(part.count() / args[5])
+            yield part
+
+    monkeypatch.setattr(lattice, "_dealt", counted)
+    before = spark.conf.get(_store._TIDY)
+    rows = vectors()
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    links = [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)]
+    got = {r.vec_id: r for r in lattice.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()}
+    assert len(sent) > 6 and max(sent) < 1.5 and spark.conf.get(_store._TIDY) == before
+    want = near.sum(axis=1) - 1
+    assert all(got[i].n_links <= want[i] for i in got) and sum(r.n_links for r in got.values()) >= 0.99 * want.sum() > 1000
+    if sum(r.n_links for r in got.values()) == want.sum():
+        assert {i: r.component_id for i, r in got.items()} == least_reachable(range(len(rows)), links)
+
+
+def test_a_pair_is_counted_in_the_least_cell_it_shares(monkeypatch):
+    monkeypatch.setattr(lattice, "_TILE", 8)
+    rnd = np.random.default_rng(6)
+    x = np.repeat(rnd.normal(size=(6, 16)), 20, axis=0) + rnd.normal(size=(120, 16)) * 0.1
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    # Half of them share a cell throughout, as a group of near copies does.
+    held = [np.unique(np.append(rnd.integers(0, 30, 5), [3] * (i % 2))) for i in range(120)]
+    copies = rnd.integers(1, 4, 120)
+    near = (u @ u.T >= 0.9) & [[bool(set(a) & set(b)) for b in held] for a in held]
+    np.fill_diagonal(near, False)
+    number, edges, may = np.zeros(120, int), [], set()
+    for cell in range(30):
+        family = lattice._Family()
+        of = [i for i in range(120) if cell in held[i]]
+        family.ids, family.sides, family.copies, family.vectors, family.pivots = of, [0] * len(of), copies[of].tolist(), list(x[of]), [held[i] for i in of]
+        for a, b, n in family.compare(cell, True, 0.9):
+            if b is None:
+                number[a] += n
+            else:
+                edges.append((a, b))
+        if of:
+            may |= set(lattice._linked(np.array(of), np.zeros(len(of), int), u[of].astype(np.float32), True, 0.9).tolist())
+    assert (number == near @ copies).all() and may == set(np.flatnonzero(near.any(axis=1)).tolist())
+    assert all(near[a, b] for a, b in edges)
+    assert least_reachable(range(120), edges) == least_reachable(range(120), list(zip(*np.nonzero(near), strict=True)))
+
+
 def test_vectors_with_null_ids_and_no_rows(spark):
     v = [1.0] + [0.0] * 63
     df = spark.createDataFrame([(None, v), (3, v), (None, None)], "vec_id long, embedding array<double>")

@@ -1,15 +1,20 @@
 """Embedding near-duplicates by lattice hashing.
 
-Each table projects a unit vector by random normal directions into two or three 8-dimensional spaces and decodes each
-projection to the nearest point of the E8 lattice; the points together are the vector's cell. A vector is filed under
-its own cell and looks into that cell and the neighbouring ones that lie nearest to its projection (the neighbours of
-an E8 point are its 240 shortest vectors). A pair is a candidate if either looks into the other's cell, and every
-candidate is verified by its cosine in double precision.
-
-The scale of the projections sets the cells' size. It follows from the number of vectors (RESOLUTIONS), so that up to
-the sizes named there a vector of 64 random components looks into fewer than ten cells of unrelated ones; beyond the
-last size that number grows with the table. The number of tables makes up for it: a pair at cosine 0.9 is found with
-probability 0.985 to 0.99 at each resolution, as the tests measure.
+Each table projects a unit vector by random normal directions into one or two 8-dimensional spaces and decodes each
+projection to the nearest point of the E8 lattice; the points together are the vector's cell. A vector is held by its
+own cell and by the neighbouring ones that lie nearest to its projection (the neighbours of an E8 point are its 240
+shortest vectors). Vectors that share a cell are candidates, and every link is verified by its cosine in double precision.
+
+The scale of the projections sets the cells' size, which follows from the number of vectors (RESOLUTIONS). Sending a vector
+to one more cell costs as much as some thousand comparisons by matrix products, so cells are coarse and tables few: a
+vector of random components is compared with up to some 25,000 unrelated ones, up to 16 million vectors; beyond, that number
+grows with the table. A pair at cosine 0.9 lies in one's own cell and a cell of the other's with probability 0.98 or
+more at each resolution, as the tests measure; as pairs that share any cell are compared, it is found with 0.99 or more.
+
+Two passes go over the cells. The first compares in single precision, a few tables at a time, and keeps which vectors
+have a link at all. The second sends only those, with all their cells, and counts a pair in the least cell it shares. What
+is on its way at once is bounded by some three times the vectors (ROOM), whatever their number, and its files are
+deleted before more is sent.
 
 Equal vectors are one class, counted by multiplicity. Vectors that are null, empty or zero, or that hold null or
 non-finite components, link with nothing and are kept; so are vectors of different lengths not linked with each other.
@@ -21,11 +26,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import Tables, small_batches
@@ -33,18 +39,26 @@ from ._words import U64, mix64, odd_constants
 from .components import components
 
 NEIGHBOURS = 10
-#: Vectors of a family that are compared with as many others in one task.
-FAMILY_BLOCK = 1024
+#: Vectors of fewer components have twice the tables.
+SHORT = 4 * 8
+#: Vectors of a cell that are compared with as many others in one task.
+FAMILY_BLOCK = 16_384
+#: Vectors compared at once, by as many.
+_TILE = 512
+#: Rows of vectors that are read or cross to Python at once.
+_ROWS = 2_000
 #: Cells' projections, of all tables and lattices, that are decoded at once.
 _CHUNK = 256 * 52
 _COLUMNS = 2048
-FEATURES = "vec_id long, vector array<double>, fp1 long, fp2 long, own array<long>, cells array<long>"
+#: Bytes on their way at once: so many times the vectors' own, and LEAST_ROOM at least.
+ROOM, LEAST_ROOM = 3, 256 << 20
+LINKED = "id long"
 FOUND = "a long, b long, n long"
 
 
 @dataclass(frozen=True)
 class Resolution:
-    upto: float  # vectors
+    upto: float  # vectors among which one meets some ten unrelated ones in the cells it looks into
     lattices: int
     scale: float
     probes: int
@@ -52,16 +66,18 @@ class Resolution:
 
 
 RESOLUTIONS = (
-    Resolution(4_000, 2, 0.6, 16, 13),
-    Resolution(100_000, 2, 0.7, 16, 26),
-    Resolution(500_000, 3, 0.55, 24, 38),
-    Resolution(2_000_000, 3, 0.6, 32, 50),
-    Resolution(float("inf"), 3, 0.65, 32, 75),
+    Resolution(200, 1, 0.5, 1, 6),
+    Resolution(500, 1, 0.6, 1, 9),
+    Resolution(1_600, 2, 0.45, 1, 17),
+    Resolution(6_500, 2, 0.5, 1, 24),
+    Resolution(float("inf"), 2, 0.6, 1, 46),
 )
+#: Tables are this many times as large as their resolution's `upto`: comparisons are cheap beside cells.
+CROWD = 2_500
 
 
 def resolution(n: int) -> Resolution:
-    return next(r for r in RESOLUTIONS if n <= r.upto)
+    return next(r for r in RESOLUTIONS if n <= r.upto * CROWD)
 
 
 def shortest_vectors() -> np.ndarray:
@@ -98,7 +114,7 @@ class Hasher:
         rng = np.random.default_rng([length, 8])
         self.of = of
         # Projections of short vectors are less independent of each other.
-        self.tables = of.tables * (2 if length < 4 * 8 else 1)
+        self.tables = of.tables * (2 if length < SHORT else 1)
         self.directions = rng.normal(size=(length, self.tables * of.lattices * 8)) * of.scale
         self.factors = odd_constants(8, 11)
         self.salts = mix64(np.arange(self.tables, dtype=U64) * U64(1 << 20) + U64(length))
@@ -108,62 +124,78 @@ class Hasher:
 
     def cells(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(own, looked into): keys by table, and by table and probe; the latter include the former."""
-        n, m, of = len(unit), NEIGHBOURS, self.of
+        n, of = len(unit), self.of
+        m = min(NEIGHBOURS, of.probes)
         y = (unit @ self.directions).reshape(n * self.tables * of.lattices, 8)
         point = decode(y)
         gain = (y - point) @ SHORTEST.T
-        best = np.argpartition(-gain, m, axis=1)[:, :m]
+        best = gain.argmax(axis=1)[:, None] if m == 1 else np.argpartition(-gain, m, axis=1)[:, :m]
         # The squared distance grows by |v|^2 - 2 (y - point) v; the shortest vectors have |v|^2 = 2. Its own point comes first.
         cost = np.concatenate([np.full((len(y), 1), -1.0), 2 - 2 * np.take_along_axis(gain, best, axis=1)], axis=1).reshape(-1, of.lattices, m + 1)
         around = np.concatenate([point[:, None], point[:, None] + SHORTEST[best]], axis=1)
         hashed = self._point_hash(around).reshape(-1, of.lattices, m + 1)
         joint, keys, own = cost[:, 0], hashed[:, 0] * U64(3), hashed[:, 0, 0] * U64(3)
-        for i in range(1, of.lattices):
-            joint = (joint[:, :, None] + cost[:, i, None, :]).reshape(len(joint), -1)
-            keys = (mix64(keys)[:, :, None] + hashed[:, i, None, :] * U64(7)).reshape(len(joint), -1)
-            own = mix64(own) + hashed[:, i, 0] * U64(7)
+        for i in range(of.lattices):
+            if i:
+                joint = (joint[:, :, None] + cost[:, i, None, :]).reshape(len(joint), -1)
+                keys = (mix64(keys)[:, :, None] + hashed[:, i, None, :] * U64(7)).reshape(len(joint), -1)
+                own = mix64(own) + hashed[:, i, 0] * U64(7)
             left = of.probes if i == of.lattices - 1 else 4 * of.probes
-            if left < joint.shape[1]:
+            if left + 1 < joint.shape[1]:
                 nearest = np.argpartition(joint, left, axis=1)[:, : left + 1]
                 joint, keys = np.take_along_axis(joint, nearest, axis=1), np.take_along_axis(keys, nearest, axis=1)
         salts = self.salts[None, :]
         return mix64(own.reshape(n, self.tables) + salts), mix64(keys.reshape(n, self.tables, -1) + salts[:, :, None]).reshape(n, -1)
 
 
-def _features(cells: Resolution, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, vectors in double precision, a row each) of the vectors that can link, for each length."""
+    rows: dict[int, list[int]] = {}
+    held = column.to_numpy(zero_copy_only=False)
+    for i, v in enumerate(held):
+        if v is None or not len(v):
+            continue
+        v = np.asarray(v, np.float64)
+        if np.isfinite(v).all() and v.any():
+            rows.setdefault(len(v), []).append(i)
+    for of in rows.values():
+        yield np.array(of), np.array([held[i] for i in of], np.float64) + 0.0  # a negative zero becomes zero
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    unit = x / np.abs(x).max(axis=1, keepdims=True)  # so that neither huge nor tiny components are lost in the squares
+    return unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+
+
+def _longs(a: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(a).view(np.int64).ravel())
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (vec_id, vector) -> these with two fingerprints, of the vectors that can link."""
+    for batch in batches:
+        for of, x in _by_length(batch.column(1)):
+            bits = mix64(x.view(U64) * odd_constants(x.shape[1], 12))
+            columns = [*(c.take(pa.array(of)) for c in batch.columns), _longs(bits.sum(axis=1, dtype=U64)), _longs(mix64(bits).sum(axis=1, dtype=U64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "vector", "fp1", "fp2"])
+
+
+def _celled(of: Resolution, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, copies, vector) -> these and the cells of each table, a column each; null where a length has fewer tables."""
     hashers: dict[int, Hasher] = {}
-    step = max(16, _CHUNK // (cells.tables * cells.lattices))
+    step = max(16, _CHUNK // (of.tables * of.lattices))
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
-            ids, vectors = part.column(0).to_pylist(), part.column(1)
-            rows: dict[int, list[int]] = {}
-            held = vectors.to_numpy(zero_copy_only=False)
-            for i, v in enumerate(held):
-                if v is None or not len(v):
-                    continue
-                v = np.asarray(v, np.float64)
-                if np.isfinite(v).all() and v.any():
-                    rows.setdefault(len(v), []).append(i)
-            for length, of in rows.items():
-                x = np.array([held[i] for i in of], np.float64) + 0.0  # a negative zero becomes zero
-                big = np.abs(x).max(axis=1, keepdims=True)
-                unit = x / big  # so that neither huge nor tiny components are lost in the squares
-                unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+            for places, x in _by_length(part.column(2)):
+                length = x.shape[1]
                 if length not in hashers:
-                    hashers[length] = Hasher(length, cells)
-                own, looked = hashers[length].cells(unit)
-                bits = mix64(x.view(U64) * odd_constants(length, 12))
-                longs = lambda a: pa.array(np.ascontiguousarray(a).view(np.int64).ravel())
-                lists = lambda a, w: pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32) * w), a)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ids[i] for i in of], pa.int64()), lists(pa.array(unit.ravel()), length),
-                        longs(bits.sum(axis=1, dtype=U64)), longs(mix64(bits).sum(axis=1, dtype=U64)),
-                        lists(longs(own), own.shape[1]), lists(longs(looked), looked.shape[1]),
-                    ],
-                    names=["vec_id", "vector", "fp1", "fp2", "own", "cells"],
-                )
+                    hashers[length] = Hasher(length, of)
+                cells = hashers[length].cells(_unit(x))[1].reshape(len(x), hashers[length].tables, -1)
+                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * cells.shape[2])
+                columns = [pa.ListArray.from_arrays(offsets, _longs(cells[:, t])) for t in range(cells.shape[1])]
+                columns += [pa.nulls(len(x), pa.list_(pa.int64()))] * (len(names) - len(columns))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(places)) for c in part.columns), *columns], names=["id", "copies", "vector", *names])
 
 
 class _Family:
@@ -173,59 +205,110 @@ class _Family:
         self.ids, self.sides, self.copies, self.vectors, self.pivots = [], [], [], [], []
 
     def compare(self, pivot: int, same: bool, least: float) -> list[tuple[int, int | None, int | None]]:
-        """(id, null, links counted here) and (a, b, null) of a spanning forest of the links."""
+        """(id, null, links counted here) and (a, b, null) of a spanning forest of the links, without those met in a family of a lesser pivot."""
         n = len(self.ids)
         if n < 2:
             return []
         lengths = np.array([len(v) for v in self.vectors])
-        x = np.zeros((n, lengths.max()))
-        for i, v in enumerate(self.vectors):
-            x[i, : len(v)] = v
-        ids, sides = np.array(self.ids), np.array(self.sides)
-        link = (x @ x.T >= least) & (lengths[:, None] == lengths) & (ids[:, None] != ids)
-        if not same:
-            link &= sides[:, None] != sides
-        if not link.any():
-            return []
-        counted = link & ~self._met_before(pivot, n)
-        number = counted @ np.array(self.copies, np.int64)
-        out: list[tuple[int, int | None, int | None]] = [(int(ids[i]), None, int(number[i])) for i in np.flatnonzero(number)]
-        open_ = link.any(axis=1)
-        for start in range(n):
-            if not open_[start]:
-                continue
-            open_[start] = False
-            ahead = [start]
-            while ahead:
-                i = ahead.pop()
-                reached = np.flatnonzero(link[i] & open_)
-                open_[reached] = False
-                ahead += reached.tolist()
-                out += [(int(ids[i]), int(ids[j]), None) for j in reached]
-        return out
+        ids, sides, copies = np.array(self.ids), np.array(self.sides), np.array(self.copies, np.int64)
+        lesser = _Lesser(self.pivots, pivot)
+        number, root = np.zeros(n, np.int64), np.arange(n)
+        out: list[tuple[int, int | None, int | None]] = []
+        for length in np.unique(lengths):
+            # Those with like pivots stand together, so that whole tiles turn out to have met before.
+            of = np.array(sorted(np.flatnonzero(lengths == length), key=lesser.listed))
+            x = _unit(np.array([self.vectors[i] for i in of], np.float64))
+            common = [lesser.common(of[p : p + _TILE]) for p in range(0, len(of), _TILE)]
+            for p, q in ((p, q) for p in range(len(common)) for q in range(p, len(common)) if common[p].isdisjoint(common[q])):
+                at, to = slice(p * _TILE, (p + 1) * _TILE), slice(q * _TILE, (q + 1) * _TILE)
+                rows, columns = of[at], of[to]
+                link = (x[at] @ x[to].T >= least) & (ids[rows, None] != ids[columns])
+                if not same:
+                    link &= sides[rows, None] != sides[columns]
+                if not link.any():
+                    continue
+                some, others = np.flatnonzero(link.any(axis=1)), np.flatnonzero(link.any(axis=0))
+                rows, columns = rows[some], columns[others]
+                link = link[np.ix_(some, others)] & ~lesser.met(rows, columns)
+                number[rows] += _weighed(link, copies[columns])
+                if p != q:
+                    number[columns] += _weighed(link.T, copies[rows])
+                out += _joined(root, rows, columns, link, ids)
+        return [(int(ids[i]), None, int(number[i])) for i in np.flatnonzero(number)] + out
 
     def _met_before(self, pivot: int, n: int) -> np.ndarray:
         """Pairs that also meet in a family of a lesser pivot."""
-        owner = np.repeat(np.arange(n), [len(p) for p in self.pivots])
-        flat = np.concatenate(self.pivots)
-        owner, flat = owner[flat < pivot], flat[flat < pivot]
-        _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = often[column] > 1
-        owner, column = owner[shared], (np.cumsum(often > 1) - 1)[column[shared]]
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        met = np.zeros((n, n), bool)
+        return _Lesser(self.pivots, pivot).met(np.arange(n), np.arange(n))
+
+
+def _weighed(link: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """The sum of the linked columns' copies in each row."""
+    if (copies == 1).all():
+        return np.count_nonzero(link, axis=1)
+    return np.where(link, copies, 0).sum(axis=1)
+
+
+class _Lesser:
+    """Which of a family's members share a pivot that is less than the family's."""
+
+    def __init__(self, pivots: list[np.ndarray], pivot: int):
+        held = [np.unique(p) for p in pivots]
+        held = [p[p < pivot] for p in held]
+        _, self.column = np.unique(np.concatenate(held), return_inverse=True)
+        self.start = np.concatenate([[0], np.cumsum([len(h) for h in held])])
+
+    def listed(self, member: int) -> list[int]:
+        return self.column[self.start[member] : self.start[member + 1]].tolist()
+
+    def common(self, members: np.ndarray) -> set[int]:
+        """Columns that all of the members hold."""
+        column, often = np.unique(self._of(members)[1], return_counts=True)
+        return set(column[often == len(members)].tolist())
+
+    def _of(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the members, column) of each pivot they hold."""
+        owner = np.repeat(np.arange(len(members)), self.start[members + 1] - self.start[members])
+        return owner, np.concatenate([self.column[self.start[m] : self.start[m + 1]] for m in members])
+
+    def met(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        met = np.zeros((len(rows), len(columns)), bool)
+        sides = [self._of(rows), self._of(columns)]
+        common = np.intersect1d(sides[0][1], sides[1][1])
         # A bounded number of pivots at a time.
-        for first in range(0, int((often > 1).sum()), _COLUMNS):
-            lo, hi = np.searchsorted(column, (first, first + _COLUMNS))
-            held = np.zeros((n, _COLUMNS), np.float32)
-            held[owner[lo:hi], column[lo:hi] - first] = 1
-            met |= held @ held.T > 0
+        for first in range(0, len(common), _COLUMNS):
+            some, held = common[first : first + _COLUMNS], []
+            for (owner, column), n in zip(sides, met.shape, strict=True):
+                at = np.minimum(np.searchsorted(some, column), len(some) - 1)
+                there = some[at] == column
+                held.append(np.zeros((n, len(some)), np.float32))
+                held[-1][owner[there], at[there]] = 1
+            met |= held[0] @ held[1].T > 0
         return met
 
 
+def _joined(root: np.ndarray, rows: np.ndarray, columns: np.ndarray, link: np.ndarray, ids: np.ndarray) -> list[tuple[int, int, None]]:
+    """Links, one for each two trees of the forest `root` that become one; `root` keeps the trees."""
+    out: list[tuple[int, int, None]] = []
+    while True:
+        apart = link & (root[rows, None] != root[columns])
+        open_ = np.flatnonzero(apart.any(axis=1))
+        if not len(open_):
+            return out
+        for i, j in zip(rows[open_].tolist(), columns[apart[open_].argmax(axis=1)].tolist(), strict=True):
+            a, b = i, j
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            if a != b:
+                root[b] = a
+                out.append((int(ids[i]), int(ids[j]), None))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
 def _compare_batches(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (pivot, one, other, block, id, copies, vector, pivots), a task's together -> FOUND."""
+    """Rows (cell, one, other, block, id, vector, copies, pivots), a task's together -> FOUND."""
     key, held = None, _Family()
 
     def pack(found):
@@ -233,8 +316,8 @@ def _compare_batches(least: float, batches: Iterator[pa.RecordBatch]) -> Iterato
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n"])
 
     for batch in batches:
-        head = [batch.column(i).to_numpy() for i in range(6)]
-        lists = [(batch.column(i).offsets.to_numpy(), batch.column(i).values.to_numpy()) for i in (6, 7)]
+        head = [batch.column(i).to_numpy() for i in (0, 1, 2, 3, 4, 6)]
+        lists = [(batch.column(i).offsets.to_numpy(), batch.column(i).values.to_numpy()) for i in (5, 7)]
         for r in range(batch.num_rows):
             now = (head[0][r], head[1][r], head[2][r])
             if now != key:
@@ -250,34 +333,120 @@ def _compare_batches(least: float, batches: Iterator[pa.RecordBatch]) -> Iterato
         yield pack(held.compare(key[0], key[1] == key[2], least))
 
 
+def _linked(ids: np.ndarray, sides: np.ndarray, x: np.ndarray, same: bool, least: float) -> np.ndarray:
+    """The ids of unit vectors in single precision that may have a link, within the rounding of that precision."""
+    least -= 2e-7 * (x.shape[1] + 8)
+    one = np.arange(len(ids)) if same else np.flatnonzero(sides == sides[0])
+    other = one if same else np.flatnonzero(sides != sides[0])
+    some = np.zeros(len(ids), bool)
+    for i in range(0, len(one), _TILE):
+        for j in range(i if same else 0, len(other), _TILE):
+            rows, columns = one[i : i + _TILE], other[j : j + _TILE]
+            # Two that are known to have links needn't be compared.
+            known = rows[some[rows]]
+            for r, c in ((rows[~some[rows]], columns), (known, columns[~some[columns]])):
+                if not len(r) or not len(c):
+                    continue
+                near = x[r] @ x[c].T
+                if same and i == j:
+                    near[r[:, None] == c] = -2
+                if near.max() >= least:
+                    near = near >= least
+                    some[r] |= near.any(axis=1)
+                    some[c] |= near.any(axis=0)
+    return ids[some]
+
+
+def _linked_batches(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, one, other, block, id, vector), a task's together -> LINKED."""
+    key, held = None, {}
+
+    def found():
+        for parts in held.values():
+            ids, sides, x = (np.concatenate(p) for p in zip(*parts, strict=True))
+            some = _linked(ids, sides, x, key[1] == key[2], least)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64())], names=["id"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell, one, other, side, ids = (batch.column(i).to_numpy() for i in range(5))
+        offsets, values = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy()
+        lengths = np.diff(offsets)
+        ends = np.flatnonzero((np.diff(cell) != 0) | (np.diff(one) != 0) | (np.diff(other) != 0)) + 1
+        for lo, hi in zip([0, *ends], [*ends, len(cell)], strict=True):
+            now = (cell[lo], one[lo], other[lo])
+            if now != key:
+                yield from found()
+                key, held = now, {}
+            for length in np.unique(lengths[lo:hi]):
+                of = np.flatnonzero(lengths[lo:hi] == length) + lo
+                x = values[offsets[of][:, None] + np.arange(length)] if len(of) < hi - lo else values[offsets[lo] : offsets[hi]].reshape(-1, length)
+                held.setdefault(length, []).append((ids[of], side[of], _unit(x.astype(np.float64)).astype(np.float32)))
+    yield from found()
+
+
+def _dealt(tables: Tables, name: str, rows: DataFrame, cells: Column, n: int, most: int, columns: list[str]) -> Iterator[DataFrame]:
+    """(cell, one, other, block, *columns) of rows for each of their `cells`, `n` in all, sorted by the first three, in parts of some
+    `most` rows: cells with over FAMILY_BLOCK rows are cut into blocks, and every two blocks are a task's."""
+    by, zero = ["cell", "one", "other"], F.lit(0).cast("long")
+    held = rows.select(F.explode(cells).alias("cell")).groupBy("cell").agg(F.count("*").alias("held")).filter(F.col("held") > FAMILY_BLOCK)
+    crowded = tables.put(f"{name}-crowded", held.withColumn("blocks", F.ceil(F.col("held") / FAMILY_BLOCK).cast("long"))) if n > FAMILY_BLOCK else None
+    more = crowded.agg(F.sum(F.expr("held * (blocks - 1)"))).first()[0] if crowded else None
+    out = rows.select(*columns, F.explode(cells).alias("cell"))
+    if more:  # as many cells as n / FAMILY_BLOCK, at most
+        out = out.join(F.broadcast(crowded.select("cell", "blocks")), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        out = out.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    else:
+        out = out.withColumns({"block": zero, "with": zero})
+    out = out.select("cell", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "block", *columns)
+    parts = max(1, -(-(n + (more or 0)) // most))
+    for i in range(parts):
+        part = out.filter(F.pmod(F.xxhash64(*by, F.lit(1)), F.lit(parts)) == i) if parts > 1 else out
+        yield part.repartition(*by).sortWithinPartitions(*by)
+
+
+def _all(spark: SparkSession, parts: list[DataFrame], schema: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], schema))
+
+
 def near_vectors(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
     """(vec_id, embedding) -> a row per vector: vec_id, n_links, component_id, kept."""
     spark = embeddings.sparkSession
-    small_batches(spark)
-    tables = Tables(spark, "lattice")
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    of = resolution(rows.filter("embedding is not null").count())
-    features = tables.put("features", rows.mapInArrow(lambda it: _features(of, it), FEATURES))
-    classes = features.groupBy("fp1", "fp2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = tables.put("classes", classes)
+    small_batches(spark, _ROWS)
+    tables = Tables(spark, "lattice", tidy=True)
+    kind, width = ("array<float>", 4) if dict(embeddings.dtypes)["embedding"] == "array<float>" else ("array<double>", 8)
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
+    features = rows.mapInArrow(_features, f"vec_id long, vector {kind}, fp1 long, fp2 long")
+    prints = tables.put("prints", features.select("vec_id", "fp1", "fp2", F.size("vector").alias("length")))
+    classes = tables.put("classes", prints.groupBy("fp1", "fp2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("length").alias("length")))
+    n, components_, shortest = classes.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.min("length")).first()
+    of, short = resolution(n), n > 0 and shortest < SHORT
     # One row for each distinct vector. Classes whose rows all lack an id have no vertex of their own.
-    reps = features.join(
-        classes.select("fp1", "fp2", F.col("rep").alias("vec_id"), "copies"), ["fp1", "fp2", "vec_id"]
-    ).dropDuplicates(["fp1", "fp2", "vec_id"]).select(F.col("vec_id").alias("id"), "copies", "vector", "own", "cells")
-    reps = tables.put("reps", reps)
-    looking = reps.select(F.explode("cells").alias("cell"), "id", "own").select("cell", "id", F.array_contains("own", F.col("cell")).alias("filed"))
-    shared = looking.groupBy("cell").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.max("filed").alias("filed")).filter("filed and pivot < last")
-    members = tables.put("members", looking.select("cell", "id").join(shared.select("cell", "pivot"), "cell").select("pivot", "id").distinct())
-    sizes = tables.put("sizes", members.groupBy("pivot").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("long").alias("blocks")))
-    known = members.groupBy("id").agg(F.collect_list("pivot").alias("pivots"))  # as many as a vector has cells, at most
-    told = tables.put("told", reps.select("id", "copies", "vector").join(known, "id"))
-    rows_of = members.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    rows_of = rows_of.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    by = ["pivot", "one", "other"]
-    tasks = rows_of.select("pivot", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "block", "id").join(told, "id")
-    dealt = tasks.select(*by, "block", "id", "copies", "vector", "pivots").repartition(*by).sortWithinPartitions(*by)
-    found = tables.put("found", dealt.mapInArrow(lambda it: _compare_batches(least, it), FOUND))
-    tables.drop("members", "sizes", "told")
+    reps = features.join(classes.select("fp1", "fp2", F.col("rep").alias("vec_id"), "copies"), ["fp1", "fp2", "vec_id"]).dropDuplicates(["fp1", "fp2", "vec_id"])
+    names = [f"cells{t}" for t in range(of.tables * (2 if short else 1))]
+    celled = f"id long, copies long, vector {kind}, " + ", ".join(f"{c} array<long>" for c in names)
+    reps = tables.put("reps", reps.select(F.col("vec_id").alias("id"), "copies", "vector").mapInArrow(lambda it: _celled(of, names, it), celled))
+    # Which vectors have a link.
+    cells, room = of.probes + 1, max(LEAST_ROOM, ROOM * width * components_)
+    own = width * components_ / max(n, 1) + 80
+    most, parts = int(room / own), []
+    some = max(1, most // max(1, n * cells))
+    for i in range(0, len(names), some):
+        here = names[i : i + some]
+        for dealt in _dealt(tables, f"looked{i}", reps, F.concat(*(_listed(c) for c in here)), n * cells * len(here), most, ["id", "vector"]):
+            parts.append(tables.put(f"linked{len(parts)}", dealt.mapInArrow(lambda it: _linked_batches(least, it), LINKED)))
+    linked = tables.put("linked", _all(spark, parts, LINKED).distinct())
+    # Their links.
+    pivots = F.concat(*(_listed(c) for c in names)).alias("pivots")
+    told = tables.put("told", reps.select("id", "vector", "copies", pivots).join(linked, "id"))
+    tables.drop("reps", *(f"linked{i}" for i in range(len(parts))))
+    met, most, parts = told.count() * cells * len(names), int(room / (own + 8 * cells * len(names))), []
+    for dealt in _dealt(tables, "met", told, F.col("pivots"), met, most, ["id", "vector", "copies", "pivots"]):
+        parts.append(tables.put(f"found{len(parts)}", dealt.mapInArrow(lambda it: _compare_batches(least, it), FOUND)))
+    found = _all(spark, parts, FOUND)
+    tables.drop("told", "linked")
     degree = found.filter("n is not null").groupBy("a").agg(F.sum("n").alias("others"))
     joined = components(found.filter("b is not null").select("a", "b"), "lattice-cc")
     final = (
@@ -285,10 +454,14 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
         .join(joined, classes.rep == joined.id, "left")
         .select("fp1", "fp2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    linked = features.select("vec_id", "fp1", "fp2").join(final, ["fp1", "fp2"]).select("vec_id", "n_links", "component_id")
+    linked = prints.select("vec_id", "fp1", "fp2").join(final, ["fp1", "fp2"]).select("vec_id", "n_links", "component_id")
     return _with_the_rest(rows, linked)
 
 
+def _listed(name: str) -> Column:
+    return F.coalesce(F.col(name), F.array().cast("array<bigint>"))
+
+
 def valid(embedding: Column) -> Column:
     """Whether a vector can link: some components, none null or non-finite, not all zero."""
     fine = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
