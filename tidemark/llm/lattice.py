@@ -336,6 +336,10 @@ def _compare_batches(least: float, batches: Iterator[pa.RecordBatch]) -> Iterato
 def _linked(ids: np.ndarray, sides: np.ndarray, x: np.ndarray, same: bool, least: float) -> np.ndarray:
     """The ids of unit vectors in single precision that may have a link, within the rounding of that precision."""
     least -= 2e-7 * (x.shape[1] + 8)
+    if same and len(ids) <= _TILE:  # most cells
+        near = x @ x.T
+        np.fill_diagonal(near, -2)
+        return ids[(near >= least).any(axis=1)] if near.max() >= least else ids[:0]
     one = np.arange(len(ids)) if same else np.flatnonzero(sides == sides[0])
     other = one if same else np.flatnonzero(sides != sides[0])
     some = np.zeros(len(ids), bool)
@@ -363,9 +367,8 @@ def _linked_batches(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator
 
     def found():
         for parts in held.values():
-            ids, sides, x = (np.concatenate(p) for p in zip(*parts, strict=True))
-            some = _linked(ids, sides, x, key[1] == key[2], least)
-            if len(some):
+            ids, sides, x = parts[0] if len(parts) == 1 else (np.concatenate(p) for p in zip(*parts, strict=True))
+            if len(ids) > 1 and len(some := _linked(ids, sides, x, key[1] == key[2], least)):
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64())], names=["id"])
 
     for batch in batches:
@@ -374,16 +377,20 @@ def _linked_batches(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator
         cell, one, other, side, ids = (batch.column(i).to_numpy() for i in range(5))
         offsets, values = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy()
         lengths = np.diff(offsets)
-        ends = np.flatnonzero((np.diff(cell) != 0) | (np.diff(one) != 0) | (np.diff(other) != 0)) + 1
-        for lo, hi in zip([0, *ends], [*ends, len(cell)], strict=True):
-            now = (cell[lo], one[lo], other[lo])
+        units = {}  # by length: the places of its vectors and these
+        for length in np.unique(lengths).tolist():
+            of = np.flatnonzero(lengths == length)
+            units[length] = of, _unit(values[offsets[of][:, None] + np.arange(length)].astype(np.float64)).astype(np.float32)
+        starts = np.concatenate([[0], np.flatnonzero((np.diff(cell) != 0) | (np.diff(one) != 0) | (np.diff(other) != 0)) + 1])
+        keys = zip(cell[starts].tolist(), one[starts].tolist(), other[starts].tolist(), strict=True)
+        for now, lo, hi in zip(keys, starts.tolist(), [*starts[1:].tolist(), len(cell)], strict=True):
             if now != key:
                 yield from found()
                 key, held = now, {}
-            for length in np.unique(lengths[lo:hi]):
-                of = np.flatnonzero(lengths[lo:hi] == length) + lo
-                x = values[offsets[of][:, None] + np.arange(length)] if len(of) < hi - lo else values[offsets[lo] : offsets[hi]].reshape(-1, length)
-                held.setdefault(length, []).append((ids[of], side[of], _unit(x.astype(np.float64)).astype(np.float32)))
+            for length, (of, x) in units.items():
+                a, b = (lo, hi) if len(units) == 1 else np.searchsorted(of, (lo, hi))
+                if a < b:
+                    held.setdefault(length, []).append((ids[of[a:b]], side[of[a:b]], x[a:b]))
     yield from found()
 
 
